@@ -57,16 +57,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
-def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def words_of(texts: list[str | None], spans: bool = False) -> tuple[np.ndarray, ...]:
     """The 64-bit hashes of the words of all texts, one after the other, and where each text's begin (one more at the end).
 
+    With spans also the folded bytes of all texts, where words begin and end there.
     A word's hash is a polynomial of its UTF-8 bytes, taken from one running sum over the whole block of texts.
     """
     raw = [(t if t.isascii() else " ".join(WORD.findall(t.lower()))).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     at = np.cumsum([0, *(len(r) + 1 for r in raw)])
     x = FOLD[np.frombuffer(b"\n".join([*raw, b""]), np.uint8)]
     if not len(x):
-        return np.empty(0, U64), np.zeros(len(texts) + 1, np.int64)
+        none = np.empty(0, np.int64)
+        return (np.empty(0, U64), np.zeros(len(texts) + 1, np.int64)) + ((x, none, none) if spans else ())
     inside = x != 0
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
@@ -76,7 +78,8 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     total = np.cumsum(x * up)
     first = np.where(begin > 0, total[begin - 1], U64(0))
     ids = mixed((total[end - 1] - first) * down[begin] + (end - begin).astype(U64))
-    return ids, np.searchsorted(begin, at)
+    found = ids, np.searchsorted(begin, at)
+    return found + (x, begin, end) if spans else found
 
 
 def word_ids(text: str | None) -> np.ndarray:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import near_duplicates
-from sparkcurate.llm.shared import conversations
+from sparkcurate.llm import near_duplicates, packing, proportional_sample, split_overlap, template_leaks
+from sparkcurate.llm.shared import conversations, table
 
 CHAT = ("chat_text", "text_id", "text")
 TOOLS = ("tool_calling", "example_id", "messages")
@@ -23,9 +23,71 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(conversations(spark, d, [TOOLS, CHAT]))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_pairs(conversations(spark, d, [ROWS, CHAT]))
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_report(conversations(spark, d, [ROWS, CHAT]))
+
+
+def pools(spark: SparkSession, d: str) -> DataFrame:
+    traces, prompts = table(spark, d, "training_examples_poc"), table(spark, d, "eval_prompts")
+    return proportional_sample.records("training_examples_poc", traces, "example_id", F.col("metadata")["category"]).unionByName(
+        proportional_sample.records("eval_prompts", prompts, "prompt_id", F.col("category"))
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return proportional_sample.shortfalls(pools(spark, d), table(spark, d, "sample_targets"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return proportional_sample.sample_report(pools(spark, d), table(spark, d, "sample_targets"))
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    return proportional_sample.drawn(pools(spark, d), table(spark, d, "sample_targets"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return packing.oversized(table(spark, d, "documents"))
+
+
+def p5_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "documents"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packing_report(table(spark, d, "documents"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return template_leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+
+
+def p6_reparameterised(spark: SparkSession, d: str) -> DataFrame:
+    return template_leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), reparameterised=True)
+
+
+def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return template_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p3_found": p3_found,
+    "p3_report": p3_report,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
+    "p4_sample": p4_sample,
+    "p5_found": p5_found,
+    "p5_containers": p5_containers,
+    "p5_report": p5_report,
+    "p6_found": p6_found,
+    "p6_reparameterised": p6_reparameterised,
+    "p6_items": p6_items,
 }
 
 SQL: dict[str, str] = {}
