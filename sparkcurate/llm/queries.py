@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import near_duplicates, packing, proportional_sample, split_overlap, template_leaks
+from sparkcurate.llm import answers, cut_texts, near_duplicates, packing, proportional_sample, split_overlap, template_leaks
+from sparkcurate.functions.textfn import norm_label
 from sparkcurate.llm.shared import conversations, table
 
 CHAT = ("chat_text", "text_id", "text")
@@ -74,9 +75,39 @@ def p6_items(spark: SparkSession, d: str) -> DataFrame:
     return template_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
 
 
+def defects(spark: SparkSession, d: str) -> DataFrame:
+    tools, chat = table(spark, d, "tool_calling"), table(spark, d, "chat_messages")
+    turns = answers.turns_of_arrays(tools, "tool_calling", "example_id").unionByName(answers.turns_of_rows(chat, "chat_messages"))
+    every = tools.select(F.explode("messages").alias("m")).select("m.role", "m.content").unionByName(chat.select("role", "content"))
+    said = every.filter(norm_label(F.col("role")) == "assistant").select(F.col("content").alias("text"))
+    return answers.defects(turns, said, table(spark, d, "documents"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return defects(spark, d)
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return defects(spark, d).groupBy("src", "defect").agg(F.count("*").alias("answers"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts.cut_documents(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p7_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts.prefixes(table(spark, d, "documents"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return cut_texts.cut_report(table(spark, d, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_classes": p1_classes,
+    "p2_found": p2_found,
+    "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_report": p3_report,
     "p4_found": p4_found,
@@ -88,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_reparameterised": p6_reparameterised,
     "p6_items": p6_items,
+    "p7_found": p7_found,
+    "p7_prefixes": p7_prefixes,
+    "p7_report": p7_report,
 }
 
 SQL: dict[str, str] = {}
