@@ -30,7 +30,7 @@ GRAM_BITS = 15
 TRAIN_DOCUMENTS = 20_000
 #: A language needs this many labelled documents; a posterior this many trigrams and this logarithm of odds.
 LEAST_DOCUMENTS, LEAST_GRAMS, LEAST_ODDS = 3, 12, 6.0
-COPY_SHARE, COPY_COVER = 0.8, 0.6
+OWN_SHARE, COPY_COVER = 0.08, 0.6
 
 # -- text of a natural language -------------------------------------------------------------------------------------------------------
 
@@ -142,7 +142,7 @@ DECLINE = re.compile(
     re.X,
 )
 #: Sentences that may follow a refusal and give no answer.
-POLITE = re.compile(r"thank|understand|someone else|administrator|reviewer|rephras|anything else|sorry|apolog|shall i|please (?:ask|contact|try)|guideline|permission|topics|instructions|request|unfortunately|decline|instead", re.I)
+POLITE = re.compile(r"thank|consider|contact|owner|understand|someone else|administrator|reviewer|rephras|anything else|sorry|apolog|shall i|please (?:ask|contact|try)|guideline|permission|topics|instructions|request|unfortunately|decline|instead", re.I)
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
@@ -152,15 +152,16 @@ def is_refusal(text: str) -> bool:
     t = text.replace("’", "'").strip().lower()
     parts = [p for p in SENTENCE.split(t) if WORD.search(p)]
     declines = [bool(DECLINE.search(p)) for p in parts]
-    # a refusal declines near its beginning and goes on with nothing but courtesies
-    return any(declines[:2]) and all(d or POLITE.search(p) for d, p in zip(declines, parts))
+    # a refusal declines near its beginning and goes on with courtesies and one other sentence at most
+    return any(declines[:2]) and sum(not d and not POLITE.search(p) for d, p in zip(declines, parts)) <= 1
 
 
 FRAME = {"you", "asked", "question", "your", "was", "the", "user", "asks", "so", "is"}
 
 
 def is_copy(question: str | None, answer: str) -> bool:
-    """Nearly all words of the answer are the question's and most of the question is there, in any case, punctuation and order."""
+    """All words of the answer but one in twelve (one at least) are the question's and most of the question is there, in any case,
+    punctuation and order; an answer that quotes the question and goes on has more words of its own."""
     if not question or len(answer) > 3 * len(question) + 80:
         return False
     q, a = set(WORD.findall(question.lower())), WORD.findall(answer.lower())
@@ -169,7 +170,7 @@ def is_copy(question: str | None, answer: str) -> bool:
     words = set(a)
     common = words & q
     own = words - q - FRAME
-    return len(own) <= (1 - COPY_SHARE) * len(words - FRAME | common) and len(common) >= COPY_COVER * len(q)
+    return len(own) <= max(1, OWN_SHARE * len(words)) and len(common) >= COPY_COVER * len(q)
 
 
 ATOM = re.compile(r"(?:`[^`\n]+`|[\w.-]*[/\\][\w./\\-]*\.\w{1,5}(?::\d+)*|\d[\d.,:%]*|[A-Za-z_]\w*(?:\.\w+)*\(\)?|[A-Za-z]+[.!]?|\w+_\w+)\Z")
