@@ -1,4 +1,7 @@
-"""All queries of the core by name, and their SQL."""
+"""All queries of the core by name, and their SQL where SQL can say the same.
+
+A query's name begins with the identifiers of the operators it runs.  Each runs over its whole tables.
+"""
 
 from __future__ import annotations
 
@@ -6,5 +9,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        assert name not in QUERIES, name
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+from sparkcurate.plans import audits, curation, evaluation, parsing, relational, sessions  # noqa: E402, F401
