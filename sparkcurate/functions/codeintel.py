@@ -14,7 +14,8 @@ import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import functions as F
+
+from sparkcurate.functions.udf import arrow_udf
 
 SNIPPET = 120
 
@@ -65,13 +66,13 @@ def facts(code: str | None) -> dict | None:
     return {k: sorted(v) if isinstance(v, list) else v for k, v in out.items()}
 
 
-@F.pandas_udf(FACTS)
+@arrow_udf(FACTS)
 def ast_facts(code: pd.Series) -> pd.DataFrame:
     rows = [facts(c) or dict.fromkeys(("classes", "functions", "imports", "calls", "is_async", "hints")) for c in code]
     return pd.DataFrame(rows, columns=["classes", "functions", "imports", "calls", "is_async", "hints"])
 
 
-@F.pandas_udf("boolean")
+@arrow_udf("boolean")
 def is_valid_python(code: pd.Series) -> pd.Series:
     return code.map(lambda c: c is not None and tree_of(c) is not None).astype(bool)
 
@@ -86,7 +87,7 @@ def accesses(code: str | None) -> list[str]:
     return sorted(f for f in found if f.split(".")[0] in held)
 
 
-@F.pandas_udf("array<string>")
+@arrow_udf("array<string>")
 def field_accesses(code: pd.Series) -> pd.Series:
     return code.map(accesses)
 
@@ -108,7 +109,7 @@ def occurrence(word: str, code: str | None) -> str:
     return "code_context" if tree_of(code) is not None else "prose"
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def keyword_occurrence(word: pd.Series, code: pd.Series) -> pd.Series:
     return pd.Series([occurrence(w, c) if w is not None else None for w, c in zip(word, code)])
 
@@ -155,7 +156,7 @@ def found(code: str | None, pattern: str) -> list[dict]:
 def find_pattern(pattern: str):
     """A UDF: code -> array of matches."""
 
-    @F.pandas_udf(MATCHES)
+    @arrow_udf(MATCHES)
     def run(code: pd.Series) -> pd.Series:
         return code.map(lambda c: found(c, pattern))
 
@@ -189,7 +190,7 @@ def renamed(code: str | None, old: str, new: str) -> tuple[str, int]:
 def rename(old: str, new: str):
     """A UDF: code -> struct<code, times>."""
 
-    @F.pandas_udf("struct<code:string,times:int>")
+    @arrow_udf("struct<code:string,times:int>")
     def run(code: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([renamed(c, old, new) for c in code], columns=["code", "times"])
 
@@ -216,7 +217,7 @@ def with_import(code: str | None, line: str) -> str:
 def add_import(line: str):
     """A UDF: code -> code."""
 
-    @F.pandas_udf("string")
+    @arrow_udf("string")
     def run(code: pd.Series) -> pd.Series:
         return code.map(lambda c: with_import(c, line))
 
@@ -252,7 +253,7 @@ def flat_symbols(response: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(SYMBOLS)
+@arrow_udf(SYMBOLS)
 def document_symbols(response: pd.Series) -> pd.Series:
     return response.map(flat_symbols)
 
@@ -396,6 +397,6 @@ def issues(code: str | None) -> list[dict]:
     return sorted(out, key=lambda x: (x["line"], x["rule"]))
 
 
-@F.pandas_udf(ISSUES)
+@arrow_udf(ISSUES)
 def domain_issues(code: pd.Series) -> pd.Series:
     return code.map(issues)

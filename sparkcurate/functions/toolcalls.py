@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkcurate.functions.udf import arrow_udf
+
 CALL = "struct<name:string,arguments:string>"
 RESULT = f"struct<clean:string,calls:array<{CALL}>>"
 TAGGED = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
@@ -66,7 +68,7 @@ def parse(text: str | None) -> tuple[str, list[dict]]:
     return rest.strip(), calls
 
 
-@F.pandas_udf(RESULT)
+@arrow_udf(RESULT)
 def _parsed(texts: pd.Series) -> pd.DataFrame:
     out = [parse(t) for t in texts]
     return pd.DataFrame({"clean": [a for a, _ in out], "calls": [b for _, b in out]})
