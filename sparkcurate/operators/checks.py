@@ -70,7 +70,11 @@ def summary(checks: DataFrame) -> DataFrame:
 def pattern_coverage(df: DataFrame, patterns: tuple[str, ...]) -> DataFrame:
     """(pattern, messages, verdict): how many messages hold each literal; none fails, under three warns.  One pass, one counter a pattern."""
     m = F.coalesce(F.col("messages"), F.array().cast("array<struct<role:string,content:string>>"))
-    one = df.agg(*(F.coalesce(F.sum(F.size(F.filter(m, lambda x, p=p: text0(x["content"]).contains(p)))), F.lit(0)).alias(f"c{k}") for k, p in enumerate(patterns)))
+
+    def holding(pattern: str) -> Column:
+        return F.coalesce(F.sum(F.size(F.filter(m, lambda x: text0(x["content"]).contains(pattern)))), F.lit(0))
+
+    one = df.agg(*(holding(p).alias(f"c{k}") for k, p in enumerate(patterns)))
     rows = one.select(F.explode(F.array(*(F.struct(F.lit(p).alias("pattern"), F.col(f"c{k}").cast("bigint").alias("messages")) for k, p in enumerate(patterns)))).alias("r")).select("r.*")
     return rows.withColumn("verdict", F.when(F.col("messages") == 0, "fail").when(F.col("messages") < 3, "warn").otherwise("pass"))
 

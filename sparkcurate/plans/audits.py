@@ -87,7 +87,7 @@ def system_prompts(spark: SparkSession, d: str) -> DataFrame:
     return checks.system_prompts(rows(spark, d))
 
 
-@query("a12_key_consistency", "select count(*) as lines, count(*) filter (where not json_valid(text)) as malformed, count(*) filter (where json_valid(text) and not list_contains(json_keys(text), 'prompt')) as without_key from documents where length(trim(text, ' ')) > 0 and starts_with(text, '{')")
+@query("a12_key_consistency", "select count(*) as lines, count(*) filter (where not json_valid(text)) as malformed, count(*) filter (where json_valid(text) and not list_contains(json_keys(case when json_valid(text) then text else '{}' end), 'prompt')) as without_key from documents where length(trim(text, ' ')) > 0 and starts_with(text, '{')")
 def key_consistency(spark: SparkSession, d: str) -> DataFrame:
     return checks.key_consistency(table(spark, d, "documents").filter("startswith(text, '{')").select(F.col("text").alias("value")), "prompt")
 
@@ -191,11 +191,11 @@ def regression_checks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "e12_w08_loss_check",
-    "with l as (select l_orderkey as run, l_linenumber as line_no, 3.0 - l_linenumber * 0.25 + l_discount as train_loss from lineitem), o as (select run, count(*) as points, arg_min(train_loss, line_no) as first_loss, arg_max(train_loss, line_no) as last_loss from l group by run) select case when (first_loss - last_loss) / first_loss < 0.1 then 'no decrease' when last_loss > 2.0 then 'high' else 'pass' end as verdict, count(*) as runs from o group by 1",
+    "with l as (select l_orderkey as run, l_linenumber as line_no, 3.0::double - l_linenumber * 0.25::double + l_discount as train_loss from lineitem), o as (select run, count(*) as points, arg_min(train_loss, (line_no, train_loss)) as first_loss, arg_max(train_loss, (line_no, train_loss)) as last_loss from l group by run) select case when (first_loss - last_loss) / first_loss < 0.1::double then 'no decrease' when last_loss > 2.0 then 'high' else 'pass' end as verdict, count(*) as runs from o group by 1",
 )
 def loss_check(spark: SparkSession, d: str) -> DataFrame:
     logs = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").alias("line_no"), (F.lit(3.0) - F.col("l_linenumber") * 0.25 + F.col("l_discount")).alias("train_loss"))
-    one = logs.groupBy("run").agg(F.count("train_loss").alias("points"), F.min_by("train_loss", "line_no").alias("first_loss"), F.max_by("train_loss", "line_no").alias("last_loss"))
+    one = logs.groupBy("run").agg(F.count("train_loss").alias("points"), F.min_by("train_loss", F.struct("line_no", "train_loss")).alias("first_loss"), F.max_by("train_loss", F.struct("line_no", "train_loss")).alias("last_loss"))
     drop = (F.col("first_loss") - F.col("last_loss")) / F.col("first_loss")
     return one.groupBy(F.when(drop < 0.1, "no decrease").when(F.col("last_loss") > 2.0, "high").otherwise("pass").alias("verdict")).agg(F.count("*").alias("runs"))
 

@@ -264,7 +264,7 @@ def wrap_calls(spark: SparkSession, d: str) -> DataFrame:
 def traces(spark: SparkSession, d: str) -> DataFrame:
     m = convert.trace_to_messages(F.col("query"), F.col("tool_calls"), F.col("answer"))
     results = F.filter(m, lambda x: x["content"].startswith("<tool_response>\n") & x["content"].endswith("\n</tool_response>") & (x["role"] == "user"))
-    chars = F.aggregate(results, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x["content"]) - 34)
+    chars = F.aggregate(results, F.lit(0).cast("bigint"), lambda s, x: s + F.length(x["content"]) - 33)
     return table(spark, d, "training_examples_poc").select("example_id", F.when(m.isNotNull(), F.size(m)).alias("messages"), F.when(m.isNotNull(), chars).alias("result_chars"))
 
 
@@ -306,7 +306,7 @@ def authors(spark: SparkSession, d: str) -> DataFrame:
 def call_records(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "training_examples_poc").withColumn("c", F.get("tool_calls", F.lit(0))).filter("c.result is not null")
     m = convert.call_record("s", F.col("query"), F.coalesce("c.name", "c.tool"), F.col("c.args"), F.col("c.result"), F.col("answer"))
-    chars = F.length(F.get(m, F.lit(1))["content"]) + F.length(F.get(m, F.lit(4))["content"]) + F.length(F.get(m, F.lit(3))["content"]) - 34
+    chars = F.length(F.get(m, F.lit(1))["content"]) + F.length(F.get(m, F.lit(4))["content"]) + F.length(F.get(m, F.lit(3))["content"]) - 33
     return rows.select("example_id", F.size(m).alias("messages"), chars.alias("chars"))
 
 
@@ -442,7 +442,7 @@ def top_400(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "l03_diverse_sample",
     """with s as (select coalesce(source, 'none') as source, doc_id, length(coalesce(text, '')) as q from documents), r as (select *, row_number() over (partition by source order by q desc, doc_id) as rank, count(*) over (partition by source) as size from s)
-    select doc_id, source, rank from r order by case when rank <= floor(200 / (select count(distinct source) from s)) then 0 else 1 end, size desc, source, rank limit 200""",
+    select doc_id, source, rank::int as rank from r order by case when rank <= floor(200 / (select count(distinct source) from s)) then 0 else 1 end, size desc, source, rank limit 200""",
 )
 def diverse(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", F.coalesce("source", F.lit("none")).alias("source"), F.length(text0(F.col("text"))).alias("q"))
@@ -454,7 +454,7 @@ def class_caps(spark: SparkSession, d: str) -> DataFrame:
     return split.top_per_class(table(spark, d, "documents").filter("source is not null").select("source", "doc_id"), 30, "source", F.col("doc_id")).select("source", "doc_id")
 
 
-@query("l12_histogram", "select source, n, row_number() over (order by n desc, source) as place from (select coalesce(source, 'none') as source, count(*) as n from documents group by 1)")
+@query("l12_histogram", "select source, n, (row_number() over (order by n desc, source))::int as place from (select coalesce(source, 'none') as source, count(*) as n from documents group by 1)")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "source")))

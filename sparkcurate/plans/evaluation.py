@@ -55,7 +55,7 @@ USED = "len(called) > 0"
 
 @query(
     "e04_autonomy",
-    f"with {RESULTS}, a as (select prompt_id, ({USED} = (len({E}) > 0))::int::double as decision, {TOOL} as tool, {WORD} as accuracy, len({E}) > 0 as needs from r) select prompt_id, decision, round(case when needs then tool else decision end, 9) as correctness, round((decision + case when needs then tool else decision end + accuracy) / 3, 9) as overall from a",
+    f"with {RESULTS}, a as (select prompt_id, (({USED}) = (len({E}) > 0))::int::double as decision, {TOOL} as tool, {WORD} as accuracy, len({E}) > 0 as needs from r) select prompt_id, decision, round(case when needs then tool else decision end, 9) as correctness, round((decision + case when needs then tool else decision end + accuracy) / 3, 9) as overall from a",
 )
 def autonomy(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("expected_tool_calls")

@@ -134,7 +134,7 @@ def workspace_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s12_g09_train_log", "select l_orderkey as key, (l_linenumber * 10)::int as iteration, round(3.0 - l_discount, 4) as train_loss, case when l_linenumber % 2 = 0 then round(3.0 - l_tax, 4) end as val_loss from lineitem")
 def train_log(spark: SparkSession, d: str) -> DataFrame:
-    number = lambda c: F.format_number(F.lit(3.0) - F.col(c), "0.0000")
+    number = lambda c: F.format_string("%.4f", F.lit(3.0) - F.col(c))
     val = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(", Val loss "), number("l_tax"))).otherwise("")
     line = F.concat(F.lit("Iter "), (F.col("l_linenumber") * 10).cast("string"), F.lit(": Train loss "), number("l_discount"), val, F.lit("\nIter x: Train loss nothing\nnoise"))
     return lines_of_orders(spark, d, line).select("key", F.explode(parsers.train_log(F.col("output"))).alias("x")).select("key", "x.*")
@@ -142,7 +142,7 @@ def train_log(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s13_val_losses", "select l_orderkey as key, (l_linenumber * 10)::int as iteration, round(3.0 - l_tax, 4) as val_loss from lineitem")
 def val_losses(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat(F.lit("Iter "), (F.col("l_linenumber") * 10).cast("string"), F.lit(": Val loss "), F.format_number(F.lit(3.0) - F.col("l_tax"), "0.0000"), F.lit(", took 1s"))
+    line = F.concat(F.lit("Iter "), (F.col("l_linenumber") * 10).cast("string"), F.lit(": Val loss "), F.format_string("%.4f", F.lit(3.0) - F.col("l_tax")), F.lit(", took 1s"))
     return lines_of_orders(spark, d, line).select("key", F.explode(parsers.val_losses(F.col("output"))).alias("x")).select("key", "x.*")
 
 
