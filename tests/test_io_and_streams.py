@@ -29,7 +29,7 @@ def test_modes_and_tree(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.jsonl").write_text(line("a") + "\n{broken\n")
     path = str(tmp_path / "x" / "a.jsonl")
-    assert ingest.json_lines(spark, path, mode="DROPMALFORMED").select("messages").count() == 2 or True
+    assert len(ingest.json_lines(spark, path, mode="DROPMALFORMED").collect()) == 1
     bad = ingest.json_lines(spark, path, mode="PERMISSIVE").cache()
     assert bad.filter("_corrupt_record is not null").count() == 1
     assert [r.line_no for r in ingest.tree(spark, str(tmp_path)).orderBy("line_no").collect()] == [1, 2]
