@@ -29,4 +29,4 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-from sparkcurate.plans import audits, curation, evaluation, parsing, relational, sessions  # noqa: E402, F401
+from sparkcurate.plans import audits, curation, evaluation, files, parsing, relational, sessions  # noqa: E402, F401
