@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkcurate.llm.shared import written
+
 WORD = re.compile(r"[^\W_]+")
 U64 = np.uint64
 #: Odd multipliers of the mixing steps.
@@ -167,12 +169,17 @@ def bags_of(ids: np.ndarray, at: np.ndarray, srcs: list[str]) -> list[tuple[int,
         x = xxhash.xxh3_64(src.encode())
         x.update(h[own].tobytes())
         x.update(n.astype(np.int32).tobytes())
-        out.append((x.intdigest() - (1 << 63), short[own].tobytes(), n.astype(np.uint16 if n.max(initial=0) < 65536 else np.uint32).tobytes()))
+        out.append((x.intdigest() - (1 << 63), short[own].tobytes(), n.astype(narrowest(n)).tobytes()))
     return out
 
 
+def narrowest(n: np.ndarray) -> type:
+    top = n.max(initial=0)
+    return np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32
+
+
 def counts_of(raw: bytes, n_words: int) -> np.ndarray:
-    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n_words else np.uint32).astype(np.int64)
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // max(n_words, 1) or 1]).astype(np.int64)
 
 
 def dice(wa: bytes, ca: bytes, wb: bytes, cb: bytes) -> float:
@@ -190,10 +197,11 @@ def dice(wa: bytes, ca: bytes, wb: bytes, cb: bytes) -> float:
 def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of fingerprints whose bags are at least so similar, with sim; bags: fp, words, counts.
 
-    Only bags that some pair names are shuffled; copies are merged on the map side first.
+    Only bags that some pair names go on; copies are merged on the map side first.  The names are written before, so that their size is
+    known when the join with all bags is planned: while they are few they are broadcast, and no bag is shuffled for it.
     """
-    named = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    one = bags.select("fp", "words", "counts").join(named, "fp", "left_semi").groupBy("fp").agg(F.first("words").alias("words"), F.first("counts").alias("counts"))
+    named = written(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "named")
+    one = written(bags.select("fp", "words", "counts").join(named, "fp", "left_semi").groupBy("fp").agg(F.first("words").alias("words"), F.first("counts").alias("counts")), "bags")
     left = one.select(F.col("fp").alias("a"), F.col("words").alias("wa"), F.col("counts").alias("ca"))
     right = one.select(F.col("fp").alias("b"), F.col("words").alias("wb"), F.col("counts").alias("cb"))
 

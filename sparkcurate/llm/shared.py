@@ -1,39 +1,17 @@
-"""What the operators of this subpackage share: the shared folder and the conversation texts.
-
-Tables that cut lineage go to the folder named in ``spark.checkpoint.dir``, so that a lost executor costs a
-re-read and not the whole job.  Outside local mode that setting is required.
-"""
+"""What the operators of this subpackage share: the conversation texts, and tables written to the shared folder, so that a lost executor
+costs a re-read and not the whole job."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.textfn import chat_to_messages, norm_label
+from sparkcurate.sources.shared import written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; in local mode one is made where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="sparkcurate-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and returns it read back: the lineage starts anew at the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["conversations", "spoken", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
