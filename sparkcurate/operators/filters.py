@@ -23,6 +23,7 @@ LEGACY_PYTHON = (
     r"\bbasestring\b",
     r"^from __future__ import",
 )
+LEGACY_WORDS = ("print", "exec", ".has_key(", "xrange(", "raw_input(", "unicode", "basestring", "from __future__ import")
 PYTHON_WORDS = ("def ", "class ", "import ")
 ROLES = ("system", "user", "assistant", "tool")
 
@@ -43,7 +44,15 @@ def is_language(messages: Column, language: str = "en") -> Column:
 
 def is_modern_python(messages: Column, min_version: str = "3.10") -> Column:
     """No message has an outdated spelling.  min_version is accepted and changes nothing.  Prose that looks like one is rejected too."""
-    return ~any_message(messages, lambda c: c.rlike("(?dm)" + "|".join(LEGACY_PYTHON)))
+
+    def test(c: Column) -> Column:
+        # the words are looked for first: few texts have one, and only those go through the expression
+        word = F.lit(False)
+        for w in LEGACY_WORDS:
+            word = word | c.contains(w)
+        return word & c.rlike("(?dm)" + "|".join(LEGACY_PYTHON))
+
+    return ~any_message(messages, test)
 
 
 def is_quality(messages: Column, min_messages: int = 2, min_chars: int = 10) -> Column:
