@@ -62,6 +62,7 @@ def language_model(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> tuple[l
     label = F.substring(F.lower(F.btrim(F.col("lang"))), 1, 2)
     rows = documents.select("doc_id", "text", label.alias("label")).filter("label is not null and text is not null and lower(trim(lang)) rlike '^[a-z]{2}([-_].*)?$'")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("label", "text")
+    rows = rows.repartition(documents.sparkSession.sparkContext.defaultParallelism)  # a limit ends in one task
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -218,7 +219,8 @@ def kept(rows: DataFrame) -> DataFrame:
 def turns_of_rows(df: DataFrame, src: str, session: str = "session_id", seq: str = "seq", block: int = BLOCK) -> DataFrame:
     """The same of single messages in the order of seq within a session."""
     rows = df.select(F.col(session).alias("rec_id"), F.col(seq).alias("pos"), norm_label(F.col("role")).alias("role"), "content", F.floor(F.col(seq) / block).alias("block"))
-    rows = rows.filter("rec_id is not null and pos is not null").repartition("rec_id", "block").groupBy("rec_id", "block", "pos").agg(F.first("role").alias("role"), F.first("content").alias("content"))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.filter("rec_id is not null and pos is not null").repartition(partitions, "rec_id", "block").groupBy("rec_id", "block", "pos").agg(F.first("role").alias("role"), F.first("content").alias("content"))
     own = Window.partitionBy("rec_id", "block").orderBy("pos")
     rows = rows.withColumn("before", F.lag(F.struct("role", "content")).over(own)).withColumn("nth", F.row_number().over(own))
     heads = rows.filter("nth = 1 and block > 0").drop("before")

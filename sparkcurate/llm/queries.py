@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 
 from sparkcurate.llm import answers, cut_texts, near_duplicates, packing, proportional_sample, split_overlap, template_leaks
 from sparkcurate.functions.textfn import norm_label
-from sparkcurate.llm.shared import conversations, table
+from sparkcurate.llm.shared import conversations, spread, table
 
 CHAT = ("chat_text", "text_id", "text")
 TOOLS = ("tool_calling", "example_id", "messages")
 ROWS = ("training_rows", "row_id", "messages")
 
 
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(conversations(spark, d, [TOOLS, CHAT]))
 
@@ -52,35 +56,35 @@ def p4_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return packing.oversized(table(spark, d, "documents"))
+    return packing.oversized(documents(spark, d))
 
 
 def p5_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed(table(spark, d, "documents"))
+    return packing.packed(documents(spark, d))
 
 
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packing_report(table(spark, d, "documents"))
+    return packing.packing_report(documents(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return template_leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+    return template_leaks.leaks(documents(spark, d), table(spark, d, "heldout_items")).select("doc_id", "item_id")
 
 
 def p6_reparameterised(spark: SparkSession, d: str) -> DataFrame:
-    return template_leaks.leaks(table(spark, d, "documents"), table(spark, d, "heldout_items"), reparameterised=True)
+    return template_leaks.leaks(documents(spark, d), table(spark, d, "heldout_items"), reparameterised=True)
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
-    return template_leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "heldout_items"))
+    return template_leaks.leaked_items(documents(spark, d), table(spark, d, "heldout_items"))
 
 
 def defects(spark: SparkSession, d: str) -> DataFrame:
-    tools, chat = table(spark, d, "tool_calling"), table(spark, d, "chat_messages")
+    tools, chat = spread(table(spark, d, "tool_calling")), table(spark, d, "chat_messages")
     turns = answers.turns_of_arrays(tools, "tool_calling", "example_id").unionByName(answers.turns_of_rows(chat, "chat_messages"))
     every = tools.select(F.explode("messages").alias("m")).select("m.role", "m.content").unionByName(chat.select("role", "content"))
     said = every.filter(norm_label(F.col("role")) == "assistant").select(F.col("content").alias("text"))
-    return answers.defects(turns, said, table(spark, d, "documents"))
+    return answers.defects(turns, said, documents(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -92,15 +96,15 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return cut_texts.cut_documents(table(spark, d, "documents")).select("doc_id").distinct()
+    return cut_texts.cut_documents(documents(spark, d)).select("doc_id").distinct()
 
 
 def p7_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return cut_texts.prefixes(table(spark, d, "documents"))
+    return cut_texts.prefixes(documents(spark, d))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
-    return cut_texts.cut_report(table(spark, d, "documents"))
+    return cut_texts.cut_report(documents(spark, d))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
