@@ -34,13 +34,14 @@ OWN_SHARE, COPY_COVER = 0.08, 0.6
 
 # -- text of a natural language -------------------------------------------------------------------------------------------------------
 
-NOT_NATURAL = re.compile(r"```.*?(?:```|\Z)|<tool_call>.*?(?:</tool_call>|\Z)|<tool_response>.*?(?:</tool_response>|\Z)|`[^`\n]*`|\"[^\"\n]*\"|«[^»\n]*»|„[^“”\n]*[“”]|“[^”\n]*”|\S*[_/=(\[{<>\\@]\S*|\S*\d\S*", re.S)
+NOT_NATURAL = re.compile(r"```.*?(?:```|\Z)|<tool_call>.*?(?:</tool_call>|\Z)|<tool_response>.*?(?:</tool_response>|\Z)|`[^`\n]*`|\"[^\"\n]*\"|«[^»\n]*»|„[^“”\n]*[“”]|“[^”\n]*”", re.S)
+TECHNICAL = re.compile(r"[_/=(\[{<>\\@\d]")
 TOOL_RESULT = re.compile(r"\s*(?:tool[ _]result\s*:|<tool_(?:response|result)>)", re.I)
 
 
 def natural(text: str | None) -> str:
     """The text without code, calls, quotations, identifiers, paths and numbers; in lower case."""
-    return " ".join(NOT_NATURAL.sub(" ", text).lower().split()) if text else ""
+    return " ".join(t for t in NOT_NATURAL.sub(" ", text).lower().split() if not TECHNICAL.search(t)) if text else ""
 
 
 def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

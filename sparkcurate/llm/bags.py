@@ -63,7 +63,7 @@ def words_of(texts: list[str | None], spans: bool = False) -> tuple[np.ndarray,
     """The 64-bit hashes of the words of all texts, one after the other, and where each text's begin (one more at the end).
 
     With spans also the folded bytes of all texts, where words begin and end there.
-    A word's hash is a polynomial of its UTF-8 bytes, taken from one running sum over the whole block of texts.
+    A word's hash is a polynomial of its UTF-8 bytes, taken from running sums over stretches of about BLOCK bytes.
     """
     raw = [(t if t.isascii() else " ".join(WORD.findall(t.lower()))).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     at = np.cumsum([0, *(len(r) + 1 for r in raw)])
@@ -76,10 +76,16 @@ def words_of(texts: list[str | None], spans: bool = False) -> tuple[np.ndarray,
     if inside[0]:
         edge = np.concatenate([[0], edge])
     begin, end = edge[::2], edge[1::2]
-    up, down = Powers.get(len(x))
-    total = np.cumsum(x * up)
-    first = np.where(begin > 0, total[begin - 1], U64(0))
-    ids = mixed((total[end - 1] - first) * down[begin] + (end - begin).astype(U64))
+    ids, i = np.empty(len(begin), U64), 0
+    while i < len(begin):
+        low = begin[i]
+        j = max(i + 1, int(np.searchsorted(end, low + BLOCK, "right")))
+        b, e = begin[i:j] - low, end[i:j] - low
+        up, down = Powers.get(int(e[-1]))
+        total = np.cumsum(x[low : low + e[-1]] * up)
+        first = np.where(b > 0, total[b - 1], U64(0))
+        ids[i:j] = mixed((total[e - 1] - first) * down[b] + (e - b).astype(U64))
+        i = j
     found = ids, np.searchsorted(begin, at)
     return found + (x, begin, end) if spans else found
 

@@ -33,6 +33,8 @@ CODE = re.compile(r'\A(?:#!|"""|\'\'\'|(?:async )?def \w|class \w|import \w|from
 #: Endings of file names.
 SUFFIXES = "py|pyi|md|rst|txt|log|json|jsonl|toml|yaml|yml|cfg|ini|sh|js|ts|html|css|csv|parquet|sql|lock|xml"
 PATH = rf"(?:[\w.-]+/)*[\w.-]+\.(?:{SUFFIXES})(?::\d+)*"
+#: A closing line is not longer; of a longer line its end is looked at, which may be a closing list of paths.
+CLOSING_CHARS = 300
 #: Lines that close a text without a full stop.
 CLOSING = re.compile(
     rf"""\A(?:
@@ -121,7 +123,7 @@ def cut_reason(text: str | None) -> str | None:
     if line.startswith("|"):
         above = t.rsplit("\n", 2)[-2].strip() if t.count("\n") else line
         return None if len(line) > 1 and line.endswith("|") and (not above.startswith("|") or line.count("|") == above.count("|")) else "structure"
-    if line.startswith("```") or TERMINAL.search(line) or CLOSING.match(line):
+    if line.startswith("```") or TERMINAL.search(line) or CLOSING.match(line[-CLOSING_CHARS:]):
         return None
     return "sentence"
 

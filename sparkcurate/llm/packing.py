@@ -30,7 +30,8 @@ from sparkcurate.llm.shared import written
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN_ITEMS, PATTERNS, SWEEPS = 24, 3000, 40
-SALTS = 64
+#: Pieces of one length are ranked in so many cells at least, and in more where a cell would hold over CELL_ROWS on average.
+SALTS, CELL_ROWS = 64, 1_000_000
 
 #: How this public vocabulary's tokenizer cuts text into pieces, in general and for ASCII text.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -175,16 +176,18 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
     parts = F.ceil(F.col("tokens") / capacity).cast("int")
     pieces = counts.withColumn("parts", parts).select("doc_id", "parts", "tokens", F.posexplode(F.sequence(F.lit(1), "parts")).alias("part", "_"))
     size = F.when(F.col("part") < F.col("parts") - 1, F.lit(capacity)).otherwise(F.col("tokens") - F.lit(capacity) * F.col("part")).cast("int")
-    salt = F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int")
+    salts = max(SALTS, -(-counts.count() // CELL_ROWS))
+    salt = F.pmod(F.xxhash64("doc_id", "part"), F.lit(salts)).cast("int")
     pieces = pieces.select("doc_id", "part", "parts", size.alias("size"), salt.alias("salt"))
     cells = pieces.groupBy("size", "salt").agg(F.count("*").alias("n"))
     offsets = cells.select("size", "salt", (F.sum("n").over(Window.partitionBy("size").orderBy("salt")) - F.col("n")).alias("before"))
-    own = cells.toArrow()
+    own = cells.groupBy("size").agg(F.sum("n").alias("n")).toArrow()
     histogram = np.bincount(own.column("size").to_numpy(), own.column("n").to_numpy(), capacity + 1).astype(np.int64)
     rows, _ = plan(histogram, capacity)
     shared = documents.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 5))
     rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "part")) - 1 + F.col("before")
-    ranked = pieces.join(F.broadcast(offsets), ["size", "salt"]).select("doc_id", "part", "parts", "size", rank.alias("rank"))
+    # at the least number of salts the cells are at most capacity x SALTS rows, which is a bound to broadcast them under
+    ranked = pieces.join(F.broadcast(offsets) if salts == SALTS else offsets, ["size", "salt"]).select("doc_id", "part", "parts", "size", rank.alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

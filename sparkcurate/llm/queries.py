@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurate.llm import answers, cut_texts, near_duplicates, packing, proportional_sample, split_overlap, template_leaks
+from sparkcurate.llm import answers, cut_texts, near_duplicates, packing, proportional_sample, split_overlap, sql, template_leaks
 from sparkcurate.functions.textfn import norm_label
 from sparkcurate.llm.shared import conversations, spread, table
 
@@ -128,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_report": p7_report,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL

@@ -32,9 +32,14 @@ LEAST_ITEMS = 2
 BROADCAST_CHARS = 32_000_000
 NUMBER, UNIT, NAME = U64(1), U64(2), U64(3)
 UNITS = "ms s sec seconds second minute minutes min hour hours h day days kb mb gb tb bytes byte percent px ns us hz khz mhz ghz".split()
-#: What stands apart from literal words: identifiers, paths, calls, code in back quotes.
-NOT_PLAIN = re.compile(r"`[^`\n]*`|\S*[_/=(\[{<>\\]\S*|\S*\w\.\w\S*")
-PLAIN = re.compile(r"(?<![^\s\"'(])[^\W\d_]+(?=[\s.,;:!?\"')]|$)")
+#: What stands apart from literal words: code in back quotes, identifiers, paths, calls.
+QUOTED = re.compile(r"`[^`\n]*`")
+TECHNICAL = re.compile(r"[_/=\[{<>\\]|\w[.(]\w")
+
+
+def plain_words(text: str | None) -> set[str]:
+    words = (t.strip(".,;:!?\"'()") for t in QUOTED.sub(" ", text or "").split() if not TECHNICAL.search(t))
+    return {w for w in words if w.isalpha() and w == w.lower()}
 
 
 def lexicon(items: DataFrame) -> np.ndarray:
@@ -45,8 +50,7 @@ def lexicon(items: DataFrame) -> np.ndarray:
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                plain = {w for w in PLAIN.findall(NOT_PLAIN.sub(" ", text or "")) if w == w.lower()}
-                out.append(np.unique(words_of([" ".join(plain)])[0] & U64(size - 1)).astype(np.int64))
+                out.append(np.unique(words_of([" ".join(plain_words(text))])[0] & U64(size - 1)).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.empty(0, np.int64))], ["bucket"])
 
     table = np.zeros(size, bool)
