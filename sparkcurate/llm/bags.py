@@ -133,30 +133,41 @@ def arrow_columns(batch: pa.RecordBatch, *names: str) -> list[list]:
 
 
 def shingle_counts(df: DataFrame, n: int, bits: int, least: int) -> tuple[np.ndarray, int]:
-    """In how many records each shingle bucket occurs, over all records of df (a column text), and how many there are.
+    """In how many different bags each shingle bucket occurs, over all records of df (columns src, text), and how many bags there are.
 
-    The table has 2**bits counts whatever the data's size: that bounds what is collected and broadcast (64 KB at 14 bits,
-    512 KB at 16).  Shingles that share a bucket get the same, larger count, the same in every record.
+    Copies count once, so a group of copies does not make its own shingles look common.  The table has 2**bits counts (at most 16
+    bits) whatever the data's size: that bounds what is collected and broadcast (512 KB at 16).  Shingles that share a bucket get
+    the same, larger count, the same in every record.
     """
     size = 1 << bits
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, records = np.zeros(size, np.int64), 0
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            srcs, texts = arrow_columns(batch, "src", "text")
             for i, j in blocks(texts):
                 ids, at = words_of(texts[i:j])
-                enough = np.diff(at) >= least
-                records += int(enough.sum())
+                keep = np.flatnonzero(np.diff(at) >= least)
+                if not len(keep):
+                    continue
+                bags = bags_of(ids, at, srcs[i:j])
                 h, _, owner = counted(*runs(ids, at, n))
                 # several shingles of a text in one bucket count once
                 key = np.sort((owner << bits) | (h & U64(size - 1)).astype(np.int64))
                 key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-                total += np.bincount((key & (size - 1))[enough[key >> bits]], minlength=size)
+                cut = np.searchsorted(key >> bits, np.arange(j - i + 1))
+                own = (key & (size - 1)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([pa.array([bags[k][0] for k in keep], pa.int64()), pa.array([own[cut[k] : cut[k + 1]].tobytes() for k in keep], pa.binary())], ["fp", "buckets"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, records = np.zeros(size, np.int64), 0
+        for batch in batches:
+            records += batch.num_rows
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([records, *total[at]], pa.int64())], ["bucket", "n"])
 
-    rows = df.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    one = df.select("src", "text").mapInArrow(buckets, "fp bigint, buckets binary").groupBy("fp").agg(F.min("buckets").alias("buckets"))
+    rows = one.select("buckets").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     bucket, n_of = (rows.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
     out = np.zeros(size, np.int64)
     out[bucket[bucket >= 0]] = n_of[bucket >= 0]

@@ -5,8 +5,9 @@ search), and the training text streams through them; maximal matches are merged
 of records, and pairs of records with a match are verified on their whole bags of words.
 
 The index is cut into shards by content, not by document: every record gives ANCHORS runs of five words, drawn
-consistently with weights by rarity, one over the records of the run's bucket (so two similar records draw mostly the
-same ones), each with the words that stand before it, WINDOW words in all.  A shard is a set of keys, the last SPAN words
+consistently with weights by rarity, ln(1 + bags / bags with the run's bucket), so two similar records draw mostly the
+same ones; copies count once, and the logarithm keeps what a large group shares in the draw beside a member's own edits.
+Each anchor comes with the words that stand before it, WINDOW words in all.  A shard is a set of keys, the last SPAN words
 of a window; it holds the evaluation windows with its keys, and only training windows with a key in the shard stream
 through it; streaming all training text through every shard would be quadratic.  Keys that occur on one side only are
 dropped before windows are shuffled, first by a bit table of 2**FILTER_BITS bits (8 MB whatever the data's size; it lets
@@ -42,8 +43,8 @@ SCHEMA = "src string, id bigint, train boolean, fp bigint, words binary, counts
 
 def features(texts: DataFrame) -> DataFrame:
     """Side, fingerprint, bag and anchors with their windows of every record with enough words; texts: src, id, split, text."""
-    seen, _ = shingle_counts(texts, SHINGLE, BUCKET_BITS, LEAST_WORDS)
-    shared = texts.sparkSession.sparkContext.broadcast((1 / np.maximum(seen, 1)).astype(np.float32))
+    seen, total = shingle_counts(texts, SHINGLE, BUCKET_BITS, LEAST_WORDS)
+    shared = texts.sparkSession.sparkContext.broadcast(np.log(1 + total / np.maximum(seen, 1)).astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from helpers import conversation_rows, dice, n_words
+from helpers import conversation_rows, dice, n_words, text, vocabulary
 
 from sparkcurate.llm import bags, near_duplicates, split_overlap
 from sparkcurate.llm.shared import written
@@ -133,3 +133,30 @@ def test_samples_agree_as_often_as_bags_do():
     a, b = rng.random(60) + 0.2, rng.random(60) + 0.2
     s = sampler.draw(np.concatenate([keys, keys]), np.concatenate([a, b]), np.array([0, 60]))
     assert abs((s[:, 0] == s[:, 1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
+
+
+def beside_copies(copies, others, n=40):
+    """Rows (train) of copies of one text and of other texts, and rows (test) of n texts with random words of it replaced."""
+    rng, words = random.Random(11), vocabulary(3000)
+    base = text(rng, words, 100)
+    rows = [("a", i, "train", "s", base) for i in range(copies)] + [("a", copies + i, "train", "s", text(rng, words, 100)) for i in range(others)]
+    near = []
+    while len(near) < n:
+        t = " ".join(rng.choice(words) if rng.random() < 0.12 else w for w in base.split())
+        if dice(base, t) >= 0.82:
+            near.append(("a", 100_000 + len(near), "test", "s", t))
+    return rows + near
+
+
+def test_near_copies_beside_a_third_of_copies_overlap(spark):
+    rows = beside_copies(400, 800)
+    got = {(r.id_a, r.id_b) for r in split_overlap.overlap_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = sum((0, 100_000 + k) in got for k in range(40))
+    assert found >= 38
+
+
+def test_shingles_count_once_per_bag(spark):
+    one, two = "eins zwei drei vier fünf", "sechs sieben acht neun zehn"
+    df = spark.createDataFrame([("a", i, one) for i in range(9)] + [("a", 9, two)], "src string, id int, text string")
+    seen, n = bags.shingle_counts(df, 2, 16, 2)
+    assert n == 2 and seen.max() <= 2 and seen.sum() == 8
