@@ -8,14 +8,16 @@ The index is cut into shards by content, not by document: every record gives ANC
 consistently with weights by rarity, ln(1 + bags / bags with the run's bucket), so two similar records draw mostly the
 same ones; copies count once, and the logarithm keeps what a large group shares in the draw beside a member's own edits.
 Each anchor comes with the words that stand before it, WINDOW words in all.  A shard is a set of keys, the last SPAN words
-of a window; it holds the evaluation windows with its keys, and only training windows with a key in the shard stream
+of a window, which are the anchor itself; it holds the evaluation windows with its keys, and only training windows with a key in the shard stream
 through it; streaming all training text through every shard would be quadratic.  Keys that occur on one side only are
 dropped before windows are shuffled, first by a bit table of 2**FILTER_BITS bits (8 MB whatever the data's size; it lets
 more through when it fills up), then by the join; a key of very many records is cut into blocks of BLOCK x BLOCK windows,
 so no task gets an unbounded group and none is dropped.
 
-A match of at least SPAN words (the whole window, where fewer words stand before the anchor) makes a candidate.  Two
-records of Jaccard similarity s over runs of five words share none of their anchors with probability (1 - s)^ANCHORS.
+A match of at least SPAN words makes a candidate, if the bags can reach the similarity by the sizes of SKETCH parts of
+their words: the sum of the smaller sizes is at least the number of shared words, so no pair is lost there, and matches of
+phrases that many records share end in the search.  Two records share about ANCHORS x s of their anchors, s being the
+share of their runs of five words that both have; records without five equal words in a row are no candidates.
 
 Nulls and blanks count as no words; records under 20 words are in no pair; rows delivered twice count once; a record
 without a split is not in train; extra columns are ignored; empty tables give no rows.
@@ -31,14 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.bags import MIX2, U64, arrow_columns, bags_of, blocks, mixed, runs, shingle_counts, verified, words_of
+from sparkcurate.llm.bags import MIX2, U64, arrow_columns, bags_of, blocks, counts_of, mixed, runs, shingle_counts, verified, words_of
 from sparkcurate.llm.shared import written
 
-SHINGLE, BUCKET_BITS, ANCHORS, WINDOW, SPAN = 5, 16, 18, 12, 7
+SHINGLE, BUCKET_BITS, ANCHORS, WINDOW = 5, 16, 18, 12
+SPAN, SKETCH = SHINGLE, 128
 BLOCK, CHUNK, FILTER_BITS = 500, 40_000, 26
 LEAST_WORDS, LEAST_SIMILARITY = 20, 0.8
 
-SCHEMA = "src string, id bigint, train boolean, fp bigint, words binary, counts binary, keys array<bigint>, windows binary"
+SCHEMA = "src string, id bigint, train boolean, fp bigint, words binary, counts binary, sketch binary, keys array<bigint>, windows binary"
 
 
 def features(texts: DataFrame) -> DataFrame:
@@ -73,7 +76,7 @@ def features(texts: DataFrame) -> DataFrame:
                     own = np.zeros((len(ends), WINDOW), np.uint16)
                     at_word = ends[:, None] - WINDOW + np.arange(WINDOW)
                     np.copyto(own, short[np.maximum(at_word, 0)], where=at_word >= at[k])
-                    chosen.append([xxhash.xxh3_64_intdigest(own_src + ids[max(at[k], e - SPAN) : e].tobytes()) - (1 << 63) for e in ends])
+                    chosen.append([xxhash.xxh3_64_intdigest(own_src + ids[e - SPAN : e].tobytes()) - (1 << 63) for e in ends])
                     windows.append(own.tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -81,16 +84,29 @@ def features(texts: DataFrame) -> DataFrame:
                         pa.array([keys[i + k] for k in keep], pa.int64()),
                         pa.array([train[i + k] for k in keep], pa.bool_()),
                         *(pa.array([bags[k][c] for k in keep], t) for c, t in ((0, pa.int64()), (1, pa.binary()), (2, pa.binary()))),
+                        pa.array([sketch(*bags[k][1:]) for k in keep], pa.binary()),
                         pa.array(chosen, pa.list_(pa.int64())),
                         pa.array(windows, pa.binary()),
                     ],
-                    names=["src", "id", "train", "fp", "words", "counts", "keys", "windows"],
+                    names=["src", "id", "train", "fp", "words", "counts", "sketch", "keys", "windows"],
                 )
 
     side = F.coalesce(F.col("split") == "train", F.lit(False)).alias("train")
     return texts.select("src", "id", side, "text").mapInArrow(run, SCHEMA)
 
 
+def sketch(words: bytes, counts: bytes) -> bytes:
+    """How many words of a bag fall in each of SKETCH parts of all words; a part of 255 holds this many or more."""
+    w = np.frombuffer(words, np.uint32)
+    return np.minimum(np.bincount(w % SKETCH, counts_of(counts, len(w)), SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether bags with the sketches x and y (a row a pair) can be at least LEAST_SIMILARITY alike; never false if they are."""
+    shared, total = np.minimum(x, y).sum(axis=1, dtype=np.int64), x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+    return (2 * shared >= (LEAST_SIMILARITY - 1e-9) * total) | (np.maximum(x, y) == 255).any(axis=1)
+
+
 def owner_shift(owner: np.ndarray, n: np.ndarray) -> np.ndarray:
     """What to add to the index of a run to get the index of its first word: each earlier text gave fewer runs than words."""
     lost = np.cumsum(np.concatenate([[0], np.minimum(n, SHINGLE - 1)]))
@@ -167,13 +183,14 @@ class WordIndex:
 
 
 def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, train, fp, window) in order of block: the matches of train windows within the evaluation windows of as many whole
+    """Rows (block, train, fp, window, sketch) in order of block: the matches of train windows within the evaluation windows of as many whole
     blocks at a time as make an index of bounded size.  A match across blocks is a true match of the texts as well, if not always of one table."""
 
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         train = rows.column("train").to_numpy()
         fp = rows.column("fp").to_numpy()
         windows = [w[w > 0] for w in np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint16).reshape(-1, WINDOW)]
+        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
         held, asked = np.flatnonzero(~train), np.flatnonzero(train)
         if not len(held) or not len(asked):
             return
@@ -181,7 +198,11 @@ def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(asked), 4096):
             part = asked[i : i + 4096]
             query, window, words = index.matches([windows[k] for k in part], SPAN)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[part[query]]), pa.array(fp[held[window]]), pa.array(words.astype(np.int64))], ["a", "b", "words"])
+            a, b = part[query], held[window]
+            for k in range(0, len(a), 1 << 16):
+                own = slice(k, k + (1 << 16))
+                keep = np.flatnonzero(may_be_similar(sketches[a[own]], sketches[b[own]])) + k
+                yield pa.RecordBatch.from_arrays([pa.array(fp[a[keep]]), pa.array(fp[b[keep]]), pa.array(words[keep].astype(np.int64))], ["a", "b", "words"])
 
     rest: pa.Table | None = None
     for batch in batches:
@@ -208,20 +229,20 @@ def bit_table(keys: DataFrame) -> np.ndarray:
 
 
 def routed_windows(feats: DataFrame, table: np.ndarray) -> DataFrame:
-    """(key, window, fp, train) of all anchors whose key may be on both sides."""
+    """(key, window, fp, train, sketch) of all anchors whose key may be on both sides."""
     shared = feats.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            keys, fp, train, windows = (batch.column(batch.schema.get_field_index(c)) for c in ("keys", "fp", "train", "windows"))
+            keys, fp, train, windows, sketches = (batch.column(batch.schema.get_field_index(c)) for c in ("keys", "fp", "train", "windows", "sketch"))
             key = keys.flatten().to_numpy().view(U64)
             keep = np.flatnonzero(bits[((key & U64((1 << FILTER_BITS) - 1)) >> U64(6)).astype(np.intp)] >> (key & U64(63)) & U64(1))
             owner = pa.array(np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy())[keep])
             raw = np.frombuffer(b"".join(windows.to_pylist()), np.uint16).reshape(-1, WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array([w.tobytes() for w in raw[keep]], pa.binary()), fp.take(owner), train.take(owner)], ["key", "window", "fp", "train"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array([w.tobytes() for w in raw[keep]], pa.binary()), fp.take(owner), train.take(owner), sketches.take(owner)], ["key", "window", "fp", "train", "sketch"])
 
-    return feats.select("keys", "fp", "train", "windows").mapInArrow(run, "key bigint, window binary, fp bigint, train boolean")
+    return feats.select("keys", "fp", "train", "windows", "sketch").mapInArrow(run, "key bigint, window binary, fp bigint, train boolean, sketch binary")
 
 
 def matching_bags(feats: DataFrame) -> DataFrame:
@@ -236,7 +257,7 @@ def matching_bags(feats: DataFrame) -> DataFrame:
         rows.join(count, "key")
         .withColumn("i", F.explode(F.when(F.col("train"), F.array(own("n_train"))).otherwise(every("n_train"))))
         .withColumn("j", F.explode(F.when(F.col("train"), every("n_held")).otherwise(F.array(own("n_held")))))
-        .select(F.xxhash64("key", "i", "j").alias("block"), "train", "fp", "window")
+        .select(F.xxhash64("key", "i", "j").alias("block"), "train", "fp", "window", "sketch")
     )
     partitions = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = routed.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(search, "a bigint, b bigint, words bigint")

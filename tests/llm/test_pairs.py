@@ -160,3 +160,26 @@ def test_shingles_count_once_per_bag(spark):
     df = spark.createDataFrame([("a", i, one) for i in range(9)] + [("a", 9, two)], "src string, id int, text string")
     seen, n = bags.shingle_counts(df, 2, 16, 2)
     assert n == 2 and seen.max() <= 2 and seen.sum() == 8
+
+
+def test_evenly_spread_edits_overlap(spark):
+    rng, words = random.Random(12), vocabulary(3000)
+    rows = []
+    for i in range(30):
+        t = [rng.choice(words) for _ in range(300)]
+        replaced = [rng.choice(words) if k % 7 == 6 else w for k, w in enumerate(t)]
+        inserted = [x for k, w in enumerate(t) for x in ([w, rng.choice(words)] if k % 6 == 5 else [w])]
+        rows += [("a", 3 * i, "train", "s", " ".join(t)), ("a", 3 * i + 1, "test", "s", " ".join(replaced)), ("a", 3 * i + 2, "test", "s", " ".join(inserted))]
+    got = [tuple(r) for r in split_overlap.overlap_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) >= 58
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng, words = random.Random(13), vocabulary()
+    texts = [text(rng, words, 60) for _ in range(30)] + ["wort " * 70_000, "wort " * 90_000]
+    texts += [" ".join(rng.choice(words) if rng.random() < 0.15 else w for w in t.split()) for t in texts[:30]]
+    of = [split_overlap.sketch(*b[1:]) for b in bags.bags_of(*bags.words_of(texts), ["a"] * len(texts))]
+    x = np.frombuffer(b"".join(of), np.uint8).reshape(-1, split_overlap.SKETCH)
+    for i in range(len(texts)):
+        may = split_overlap.may_be_similar(np.repeat(x[i : i + 1], len(x), 0), x)
+        assert all(may[j] or dice(texts[i], texts[j]) < 0.8 for j in range(len(texts)))
