@@ -1,8 +1,8 @@
 """Near-duplicate records by improved consistent weighted sampling (problem 1).
 
-Plan: (1) one pass counts in how many records each two-word shingle bucket occurs, in a table of fixed size; (2) one
+Plan: (1) one pass counts in how many different bags each two-word shingle bucket occurs, in a table of fixed size; (2) one
 pass tokenises, weighs shingles by tf-idf and draws SAMPLES consistent weighted samples a record: two records agree in
-a sample with a probability equal to their weighted Jaccard similarity; the samples form BANDS bands of ROWS.
+a sample with a probability equal to their weighted Jaccard similarity; the samples form BANDS bands of ROWS, each sample in two.
 Records of one bag of words are one fingerprint from here on.  (3) Records that share a band are candidates; those whose
 share of equal samples is under LEAST_SHARE are dropped; (4) the rest is verified on the whole bags: weighted Jaccard
 similarity of the word counts of at least 2/3, which is the same as a similarity (Dice) of at least 0.8.
@@ -32,10 +32,11 @@ from sparkcurate.llm.bags import MIX1, U64, arrow_columns, bags_of, blocks, coun
 from sparkcurate.llm.shared import written
 
 SHINGLE, BUCKET_BITS = 2, 16
-BANDS, ROWS = 30, 3
-SAMPLES = BANDS * ROWS
+BANDS, ROWS, SAMPLES = 60, 3, 90
+#: The samples of each band: three neighbours, and three a third of all samples apart; two bands share at most one sample.
+PARTS = np.concatenate([np.arange(SAMPLES).reshape(-1, ROWS), np.arange(SAMPLES).reshape(ROWS, -1).T])
 LEAST_WORDS, LEAST_SIMILARITY = 20, 0.8
-LEAST_SHARE = 0.17
+LEAST_SHARE = 0.12
 HOT = 1000
 
 
@@ -113,7 +114,7 @@ def features(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 bands = np.empty((len(keep), BANDS), U64)
                 for b in range(BANDS):
                     x = salt * MIX1 + U64(b)
-                    for row in s[b * ROWS : (b + 1) * ROWS]:
+                    for row in s[PARTS[b]]:
                         x = mixed(x ^ row.astype(U64)) + U64(1)
                     bands[:, b] = x
                 low = mixed(s.astype(U64)).astype(np.uint8).T.copy()

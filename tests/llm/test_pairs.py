@@ -183,3 +183,15 @@ def test_sketches_rule_out_no_similar_pair():
     for i in range(len(texts)):
         may = split_overlap.may_be_similar(np.repeat(x[i : i + 1], len(x), 0), x)
         assert all(may[j] or dice(texts[i], texts[j]) < 0.8 for j in range(len(texts)))
+
+
+def test_bands_find_pairs_at_the_threshold():
+    """Two words of five differ in shingles at Dice 0.8: a weighted Jaccard similarity of about 0.44."""
+    rng, n, missed = np.random.default_rng(4), 400, 0
+    sampler = near_duplicates.Sampler(near_duplicates.SAMPLES)
+    for _ in range(n):
+        keys = rng.integers(1, 1 << 60, 156).astype(np.uint64)
+        a, b = keys[:100], np.concatenate([keys[:61], keys[100:139]])
+        s = sampler.draw(np.concatenate([a, b]), np.ones(200), np.array([0, 100]))
+        missed += not (s[:, 0] == s[:, 1])[near_duplicates.PARTS].all(axis=1).any()
+    assert missed <= 0.02 * n
