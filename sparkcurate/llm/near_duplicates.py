@@ -220,10 +220,33 @@ def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
     )
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(fp, least): every fingerprint of links (a, b) and the least one that a chain of links leads to.
+
+    Large and small stars in turn (Kiveris et al. 2014): each keeps what is connected, and after some rounds, about the
+    logarithm of the longest chain, every fingerprint has one link, to its least.  Rounds are written, so plans do not grow.
+    """
+    edges = written(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u < v").distinct(), "edges")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        large = both.join(least, "v").filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+        large = written(large, "large")
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).filter("u < v").unionByName(least.select("v", F.col("m").alias("u"))).distinct()
+        edges = written(small, "small")
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+        if now == state:
+            return edges.select(F.col("v").alias("fp"), F.col("u").alias("least"))
+        state = now
+
+
 def near_duplicate_classes(texts: DataFrame) -> DataFrame:
-    """(src, id, class_id, n_links): one row per record with enough words; the class is the least fingerprint among a bag and the
-    bags it is linked with, n_links the number of different bags linked.  Records in no pair are a class of their own."""
+    """(src, id, class_id, n_links): one row per record with enough words; the class is the least fingerprint among the bags that chains
+    of links lead to, n_links the number of different bags linked directly.  Records in no pair are a class of their own."""
     feats = written(features(texts), "features")
-    found = similar_bags(feats).select("a", "b")
-    links = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("least"), F.count("*").alias("links"))
-    return feats.select("src", "id", "fp").distinct().join(links.withColumnRenamed("a", "fp"), "fp", "left").select("src", "id", F.least("fp", F.coalesce("least", "fp")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    found = written(similar_bags(feats).select("a", "b"), "found")
+    links = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("links"))
+    of = feats.select("src", "id", "fp").distinct().join(links.withColumnRenamed("a", "fp"), "fp", "left").join(components(found), "fp", "left")
+    return of.select("src", "id", F.coalesce("least", "fp").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))

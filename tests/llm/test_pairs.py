@@ -195,3 +195,29 @@ def test_bands_find_pairs_at_the_threshold():
         s = sampler.draw(np.concatenate([a, b]), np.ones(200), np.array([0, 100]))
         missed += not (s[:, 0] == s[:, 1])[near_duplicates.PARTS].all(axis=1).any()
     assert missed <= 0.02 * n
+
+
+def test_chains_are_one_class(spark):
+    rng, words = random.Random(14), vocabulary(3000)
+    rows = []
+    for g in range(12):
+        t = rng.sample(words, 110)
+        # each text of a chain shares 85 of 100 words with the next, and 70 with the one after it
+        chain = [t[:100], t[15:] + rng.sample(words, 5)]
+        chain.append(chain[1][15:] + rng.sample(words, 15))
+        rows += [("a", 3 * g + k, "train", "s", " ".join(x)) for k, x in enumerate(chain)]
+    of = {r.id: r.class_id for r in near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(len({of[3 * g + k] for k in range(3)}) == 1 for g in range(12)) and len(set(of.values())) == 12
+
+
+def test_components_are_those_of_a_search(spark):
+    rng = random.Random(15)
+    links = [(k, k + 1) for k in range(100, 140)] + [(rng.randint(0, 90), rng.randint(0, 90)) for _ in range(40)]
+    links = [(min(x), max(x)) for x in links if x[0] != x[1]]
+    want = {v: v for x in links for v in x}
+    for _ in want:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    got = near_duplicates.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    least = {r.fp: r.least for r in got}
+    assert len(got) == len(least) and {v: least.get(v, v) for v in want} == want
