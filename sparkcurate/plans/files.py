@@ -129,8 +129,17 @@ def micro_batches(spark: SparkSession, d: str) -> DataFrame:
     f"{UPDATES} select session_id, tool_call_id, {sets('title')} as title, {sets('status')} as status from u where update_type in ('tool_call', 'tool_call_update') and seq < 12 group by 1, 2",
 )
 def streamed_session_fold(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of the first 12 messages of every session, as its SQL says; ``r01_streamed_session_fold_whole`` takes all."""
+    return folded_stream(spark, updates(spark, d).filter("seq < 12"))
+
+
+@query("r01_streamed_session_fold_whole")
+def streamed_session_fold_whole(spark: SparkSession, d: str) -> DataFrame:
+    return folded_stream(spark, updates(spark, d))
+
+
+def folded_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The fold as a stateful stream; the last state of every call is that of the batch.  Updates arrive in order of seq, in one file a range."""
-    rows = updates(spark, d).filter("seq < 12")
     stream, offsets = streamed(rows.repartitionByRange(4, "seq").sortWithinPartitions("seq"), "updates")
     out = fresh(spark, "states")
 

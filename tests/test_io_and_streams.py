@@ -1,9 +1,12 @@
 """Files in and out, and streams that end with the state of the batch."""
 
 import json
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from sparkcurate.plans import registry
 from sparkcurate.sources import ingest, sinks
 from sparkcurate.streaming import fold
 
@@ -104,3 +107,10 @@ def test_frames(spark, tmp_path):
     rows: list = []
     ingest.frames(spark, str(tmp_path)).writeStream.foreachBatch(lambda d, _: rows.extend(d.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.kind for r in rows) == ["malformed", "request"]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
+def test_whole_stream_of_sessions_is_the_batch(spark):
+    d, names = "/root/testdata/sf0.001", ["session_id", "tool_call_id", "title", "status"]
+    whole, batch = (sorted(map(repr, registry.QUERIES[q](spark, d).select(names).collect())) for q in ("r01_streamed_session_fold_whole", "r01_r02_session_fold"))
+    assert whole == batch and len(whole) > 0
