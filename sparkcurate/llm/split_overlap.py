@@ -1,8 +1,8 @@
 """Records that stand, exactly or almost, on both sides of the train split (problem 3).
 
 The text of the evaluation splits is held in full-text indexes (Burrows-Wheeler order of whole words, with backward
-search), and the training text streams through them; maximal matches are merged into spans and counts for each pair
-of records, and pairs of records with a match are verified on their whole bags of words.
+search), and the training text streams through them; matches are counted for each pair of records, and pairs of records
+with a match are verified on their whole bags of words.  Spans are matches of windows: not merged, and of WINDOW words at most.
 
 The index is cut into shards by content, not by document: every record gives ANCHORS runs of five words, drawn
 consistently with weights by rarity, ln(1 + bags / bags with the run's bucket), so two similar records draw mostly the
@@ -246,7 +246,8 @@ def routed_windows(feats: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def matching_bags(feats: DataFrame) -> DataFrame:
-    """(a, b, spans, span_words): fingerprints of train and of another split with a common passage, how many matches and words."""
+    """(a, b, spans, span_words): fingerprints of train and of another split with a common passage, how many matches of windows
+    and words in them; the same passage counts once for every anchor in it."""
     keys = feats.groupBy("fp", "train").agg(F.first("keys").alias("keys")).select("train", F.explode("keys").alias("key"))
     count = written(keys.groupBy("key").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_held")).filter("n_train > 0 and n_held > 0"), "keys")
     rows = routed_windows(feats, bit_table(count)).distinct()
