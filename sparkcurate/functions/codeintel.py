@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import io
 import keyword
+import re
 import tokenize
 import warnings
 from collections.abc import Callable, Iterator
@@ -92,21 +93,28 @@ def field_accesses(code: pd.Series) -> pd.Series:
     return code.map(accesses)
 
 
+#: Phrases that mark a text as prose about code.
+PROSE = ("would use", "should use", "I'll use", "we could", "to call", "needs to", "want to", "going to", "can use", "let me", "i would", "i should", "i need")
+PROSE_REACH = 100
+
+
 def occurrence(word: str, code: str | None) -> str:
-    """Where the first line with the word has it: none, comment, string, real_call, code_context or prose (of what is no code)."""
-    lines = [x for x in (code or "").split("\n") if word in x]
-    if not lines:
+    """Where the first line with the word has it: none, comment (the line begins as one), string (a quote is open before the word), prose (a phrase
+    of PROSE in the lowered text begins under PROSE_REACH characters from the word there), real_call (a bracket follows) or code_context."""
+    text = code or ""
+    line = next((x.strip() for x in text.splitlines() if word in x), None)
+    if line is None:
         return "none"
-    line = lines[0]
-    before = line[: line.index(word)]
-    if "#" in before:
+    before, _, _ = line.partition(word)
+    if line.startswith("#"):
         return "comment"
-    if before.count('"') % 2 or before.count("'") % 2:
+    if any(before.count(quote) % 2 for quote in "\"'"):
         return "string"
-    after = line[line.index(word) + len(word) :]
-    if after.startswith("("):
-        return "real_call"
-    return "code_context" if tree_of(code) is not None else "prose"
+    lowered = text.lower()
+    places = [lowered.find(phrase) for phrase in PROSE]
+    if any(p >= 0 and abs(p - lowered.find(word)) < PROSE_REACH for p in places):
+        return "prose"
+    return "real_call" if re.search(rf"\b{re.escape(word)}\s*\(", line) else "code_context"
 
 
 @arrow_udf("string")
@@ -258,7 +266,7 @@ def document_symbols(response: pd.Series) -> pd.Series:
     return response.map(flat_symbols)
 
 
-# -- validators of components, services, middleware and routes -----------------------------------------------------------------------------
+# -- validators of components, services, middleware and routes; their names of rules are fixed values -----------------------------------------------------------------------------
 
 ISSUES = "array<struct<validator:string,rule:string,severity:string,line:int,message:string>>"
 Issue = tuple[str, str, int, str]
@@ -295,18 +303,20 @@ def component(tree: ast.Module) -> Iterator[Issue]:
         if not (decorated(c, "dataclass") or call or html) or injected(c) or decorated(c, "injectable", "middleware"):
             continue
         if not decorated(c, "dataclass"):
-            yield "component-dataclass", "error", c.lineno, f"{c.name} is no dataclass"
+            yield "component-must-have-dataclass", "error", c.lineno, f"{c.name} is no dataclass"
         if not call:
-            yield "component-call", "error", c.lineno, f"{c.name} has no __call__"
+            yield "component-must-have-callable", "error", c.lineno, f"{c.name} has no __call__"
         elif dotted(call.returns) != "Node":
-            yield "component-returns", "warning", call.lineno, f"{c.name}.__call__ does not return Node"
+            yield "component-callable-must-return-node", "warning", call.lineno, f"{c.name}.__call__ does not return Node"
+        if any(isinstance(a, ast.JoinedStr) for h in html for a in h.args):
+            yield "component-no-fstring-in-html", "error", c.lineno, f"{c.name} gives html() a formatted string"
 
 
 def escape(tree: ast.Module) -> Iterator[Issue]:
     for call in html_calls(tree):
         for a in call.args:
             if isinstance(a, ast.JoinedStr):
-                yield "escape-fstring", "error", a.lineno, "html() takes a formatted string"
+                yield "no-fstring-in-html", "error", a.lineno, "html() takes a formatted string"
 
 
 def render_tree(tree: ast.Module) -> Iterator[Issue]:
@@ -318,9 +328,9 @@ def services(tree: ast.Module) -> Iterator[Issue]:
     for c in classes(tree):
         if decorated(c, "injectable") or injected(c):
             if not decorated(c, "injectable"):
-                yield "service-injectable", "error", c.lineno, f"{c.name} is not registered"
+                yield "service-must-have-injectable", "error", c.lineno, f"{c.name} is not registered"
             if not decorated(c, "dataclass"):
-                yield "service-dataclass", "error", c.lineno, f"{c.name} is no dataclass"
+                yield "service-must-have-dataclass", "error", c.lineno, f"{c.name} is no dataclass"
 
 
 def dependencies(tree: ast.Module) -> Iterator[Issue]:
@@ -328,7 +338,7 @@ def dependencies(tree: ast.Module) -> Iterator[Issue]:
     for c in classes(tree):
         for t, line in injected(c):
             if kind[c.name] == "service" and kind.get(t, "unknown") == "component":
-                yield "dependency-direction", "error", line, f"service {c.name} injects component {t}"
+                yield "service-cannot-depend-on-component", "error", line, f"service {c.name} injects component {t}"
 
 
 def injection_sites(tree: ast.Module) -> Iterator[Issue]:
@@ -337,7 +347,7 @@ def injection_sites(tree: ast.Module) -> Iterator[Issue]:
         if isinstance(n, ast.ClassDef):
             for t, line in injected(n):
                 if t not in known:
-                    yield "injection-import", "warning", line, f"{t} is not imported"
+                    yield "inject-type-must-be-imported", "warning", line, f"{t} is not imported"
         else:
             known |= {a.name for a in n.names}
 
@@ -348,11 +358,11 @@ def middleware(tree: ast.Module) -> Iterator[Issue]:
         for d in marks:
             literal = isinstance(d, ast.Call) and any(k.arg == "categories" and isinstance(k.value, (ast.List, ast.Tuple, ast.Set, ast.Constant)) for k in d.keywords)
             if not literal:
-                yield "middleware-categories", "warning", c.lineno, f"{c.name} names no categories"
+                yield "middleware-must-have-categories", "warning", c.lineno, f"{c.name} names no categories"
         call = method(c, "__call__")
         if call and (marks or decorated(c, "hookable", "injectable")):
             if [a.arg for a in call.args.args] != ["self", "target", "props", "context"]:
-                yield "middleware-signature", "error", call.lineno, f"{c.name}.__call__ must take target, props, context"
+                yield "middleware-must-have-correct-signature", "error", call.lineno, f"{c.name}.__call__ must take target, props, context"
 
 
 def template_binding(tree: ast.Module) -> Iterator[Issue]:
@@ -361,7 +371,7 @@ def template_binding(tree: ast.Module) -> Iterator[Issue]:
         if isinstance(n, ast.ClassDef):
             seen |= bool(injected(n))
         elif seen and dotted(n.func).rpartition(".")[2] == "html" and any(isinstance(a, ast.JoinedStr) for a in n.args) and not any(k.arg == "context" for k in n.keywords):
-            yield "template-context", "warning", n.lineno, "html() without context="
+            yield "di-template-needs-context", "warning", n.lineno, "html() without context="
 
 
 def routes(tree: ast.Module) -> Iterator[Issue]:
@@ -371,9 +381,9 @@ def routes(tree: ast.Module) -> Iterator[Issue]:
             if path is None:
                 continue
             if not path.startswith("/"):
-                yield "route-slash", "error", n.lineno, f"{path} has no leading slash"
+                yield "route-must-start-with-slash", "error", n.lineno, f"{path} has no leading slash"
             if path.count("{") != path.count("}"):
-                yield "route-braces", "error", n.lineno, f"{path} has open braces"
+                yield "route-unbalanced-braces", "error", n.lineno, f"{path} has open braces"
 
 
 VALIDATORS: dict[str, Callable[[ast.Module], Iterator[Issue]]] = {

@@ -86,31 +86,47 @@ def system_prompts(df: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("prompts"), F.coalesce(F.max("n"), F.lit(0)).alias("most_common"))
 
 
-#: The names of tools, the first one found in a text names its class.
-TOOLS = ("scan_files", "open_file", "save_file", "list_refs", "locate_symbol", "probe_types", "run_checks", "diff_tree", "show_history", "exec_snippet")
+#: The names of tools; the first one found in a message with a call names its class.
+TOOLS = (
+    "goto_definition",
+    "find_references",
+    "hover",
+    "document_symbols",
+    "workspace_symbols",
+    "typecheck",
+    "ruff_check",
+    "pytest_run",
+    "git_status",
+    "git_diff",
+    "git_log",
+    "read_file",
+    "write_file",
+    "run_command",
+)
 
 
 def tool_class(content: Column, tools: tuple[str, ...] = TOOLS) -> Column:
-    out = F.lit("direct")
-    for t in reversed(tools):
-        out = F.when(text0(content).contains(t), t).otherwise(out)
-    return out
+    """direct_answer without a tool call, else the first of the tools in the message, other for none of them."""
+    c = text0(content)
+    named = F.coalesce(*(F.when(c.contains(t), t) for t in tools), F.lit("other"))
+    return F.when(c.contains("<tool_call>"), named).otherwise("direct_answer")
 
 
 def first_answer(messages: Column) -> Column:
-    """The first assistant message's content; '' for none."""
+    """The first assistant message's content; '' for none, which the checks of classes leave out."""
     return text0(F.get(F.filter(messages, lambda m: m["role"] == "assistant"), F.lit(0))["content"])
 
 
 def balance(df: DataFrame, least: float = 0.05) -> DataFrame:
-    """(tool, n, share, rare) of the classes of first answers."""
-    rows = df.groupBy(tool_class(first_answer(F.col("messages"))).alias("tool")).agg(F.count("*").alias("n"))
+    """(tool, n, share, rare) of the classes of first answers; records without one do not count."""
+    rows = df.filter(first_answer(F.col("messages")) != "").groupBy(tool_class(first_answer(F.col("messages"))).alias("tool")).agg(F.count("*").alias("n"))
     total = rows.agg(F.sum("n").alias("total"))
     return rows.crossJoin(F.broadcast(total)).select("tool", "n", (F.col("n") / F.col("total")).alias("share"), (F.col("n") / F.col("total") < least).alias("rare"))
 
 
 def shuffle_quality(numbered: DataFrame) -> DataFrame:
-    """(tool, n, first_half_pct, clustered): the share of each class in the first half of the rows; numbered: nth, total, messages."""
+    """(tool, n, first_half_pct, clustered): the share of each class in the first half of the rows; numbered: nth, total, messages, of
+    records with a first answer only."""
     half = F.col("nth") <= F.floor(F.col("total") / 2)
     rows = numbered.groupBy(tool_class(first_answer(F.col("messages"))).alias("tool")).agg(F.count("*").alias("n"), F.count_if(half).alias("first"))
     pct = F.col("first") * 100.0 / F.col("n")
@@ -130,19 +146,44 @@ def key_consistency(lines: DataFrame, expected: str = "messages") -> DataFrame:
     return lines.filter("length(trim(value)) > 0").agg(F.count("*").alias("lines"), F.count_if(keys.isNull()).alias("malformed"), F.count_if(keys.isNotNull() & ~F.array_contains(keys, expected)).alias("without_key"))
 
 
-def corpus_audit(df: DataFrame) -> DataFrame:
-    """One row of counts over conversations: single and multi turn, several different calls in one message, system first, preambles before a call."""
+#: The functions that the corpus audit counts calls of.
+AUDITED = (
+    "ruff_check",
+    "typecheck",
+    "pytest_run",
+    "goto_definition",
+    "find_references",
+    "hover",
+    "document_symbols",
+    "workspace_symbols",
+    "git_status",
+    "git_diff",
+    "git_log",
+    "read_file",
+)
+
+
+def corpus_audit(df: DataFrame, functions: tuple[str, ...] = AUDITED) -> DataFrame:
+    """One row of counts over conversations: of three messages (single turn) and of more (multi turn), with a message that calls two different
+    functions or more, with the system first; and the number of messages with something before their call."""
     m = F.col("messages")
-    users = F.coalesce(F.size(F.filter(m, lambda x: x["role"] == "user")), F.lit(0))
-    several = by_assistant(m, lambda c: count_of(c, "<tool_call>") > 1)
-    preamble = by_assistant(m, lambda c: c.contains("<tool_call>") & ~c.startswith("<tool_call>"))
+    n = F.coalesce(F.size(m), F.lit(0))
+
+    def different(c: Column) -> Column:
+        total = F.lit(0)
+        for f in functions:
+            total = total + c.contains(f"{f}(").cast("int")
+        return total
+
+    several = by_assistant(m, lambda c: c.contains("<tool_call>") & (different(c) >= 2))
+    late = F.filter(m, lambda x: (x["role"] == "assistant") & text0(x["content"]).contains("<tool_call>") & ~text0(x["content"]).startswith("<tool_call>"))
     return df.agg(
         F.count("*").alias("records"),
-        F.count_if(users == 1).alias("single_turn"),
-        F.count_if(users > 1).alias("multi_turn"),
+        F.count_if(n == 3).alias("single_turn"),
+        F.count_if(n > 3).alias("multi_turn"),
         F.count_if(several).alias("several_calls"),
         F.count_if(F.coalesce(F.get(m, F.lit(0))["role"] == "system", F.lit(False))).alias("system_first"),
-        F.count_if(preamble).alias("preambles"),
+        F.coalesce(F.sum(F.size(late)), F.lit(0)).alias("preambles"),
     )
 
 

@@ -9,22 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.functions.textfn import count_of, strip, text0
+from sparkcurate.functions.textfn import BLANKS, count_of, strip, text0
 
 #: Scripts that mark a text as not English, and the spellings of outdated Python.
 FOREIGN_SCRIPT = "[一-鿿぀-ゟ゠-ヿЀ-ӿ؀-ۿ]"
 LEGACY_PYTHON = (
     r"\bprint\s+[^(]",
-    r"\bexec\s+[^(]",
     r"\.has_key\(",
-    r"\bxrange\(",
-    r"\braw_input\(",
+    r"\bxrange\b",
+    r"<>\s",
+    r"^class\s+\w+:",
+    r"\bexecfile\b",
     r"\bunicode\b",
-    r"\bbasestring\b",
-    r"^from __future__ import",
+    r"from\s+__future__",
 )
-LEGACY_WORDS = ("print", "exec", ".has_key(", "xrange(", "raw_input(", "unicode", "basestring", "from __future__ import")
-PYTHON_WORDS = ("def ", "class ", "import ")
+#: A literal of each of these patterns.
+LEGACY_WORDS = ("print", ".has_key(", "xrange", "<>", "class", "execfile", "unicode", "__future__")
+#: What Python sources hold.
+PYTHON_WORDS = ("def ", "class ", "import ", "from ")
 ROLES = ("system", "user", "assistant", "tool")
 
 
@@ -47,10 +49,7 @@ def is_modern_python(messages: Column, min_version: str = "3.10") -> Column:
 
     def test(c: Column) -> Column:
         # the words are looked for first: few texts have one, and only those go through the expression
-        word = F.lit(False)
-        for w in LEGACY_WORDS:
-            word = word | c.contains(w)
-        return word & c.rlike("(?dm)" + "|".join(LEGACY_PYTHON))
+        return contains_any(c, LEGACY_WORDS) & c.rlike("(?dm)" + "|".join(LEGACY_PYTHON))
 
     return ~any_message(messages, test)
 
@@ -64,23 +63,24 @@ def is_quality(messages: Column, min_messages: int = 2, min_chars: int = 10) ->
 
 def code_lines(code: Column) -> Column:
     """Lines that are neither blank nor comments."""
-    return F.size(F.filter(F.split(text0(code), "\n"), lambda x: (F.length(F.trim(x)) > 0) & ~F.trim(x).startswith("#")))
+    bare = lambda x: F.btrim(x, F.lit(BLANKS))
+    return F.size(F.filter(F.split(text0(code), "\n"), lambda x: (F.length(bare(x)) > 0) & ~bare(x).startswith("#")))
 
 
 def is_code_sample(code: Column, min_chars: int = 100, min_lines: int = 5) -> Column:
-    return (F.length(F.trim(text0(code))) >= min_chars) & (code_lines(code) >= min_lines)
+    return (F.length(strip(text0(code))) >= min_chars) & (code_lines(code) >= min_lines)
 
 
 def code_quality(code: Column) -> Column:
     """0 to 1: .2 each for a doc string, type hints, a class, a function; .1 without and .05 with up to two open notes; .1 for 5 to 30 % comments."""
     c = text0(code)
-    notes = count_of(c, "TODO") + count_of(c, "FIXME")
+    notes = count_of(F.lower(c), "todo") + count_of(F.lower(c), "fixme")
     lines = F.split(c, "\n")
-    comments = F.size(F.filter(lines, lambda x: F.trim(x).startswith("#"))) / F.greatest(F.size(lines), F.lit(1))
+    comments = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(BLANKS)).startswith("#"))) / F.greatest(F.size(lines), F.lit(1))
     part = lambda test, value: F.when(test, F.lit(value)).otherwise(F.lit(0.0))
     return (
         part(c.contains('"""') | c.contains("'''"), 0.2)
-        + part(c.contains("->") | c.rlike(r":\s*(int|str|float|bool|list|dict)\b"), 0.2)
+        + part(c.contains("->") | c.contains(": "), 0.2)
         + part(c.contains("class "), 0.2)
         + part(c.contains("def "), 0.2)
         + F.when(notes == 0, 0.1).when(notes <= 2, 0.05).otherwise(0.0)
@@ -92,10 +92,44 @@ def is_code_file(code: Column) -> Column:
     """100 to 50,000 characters, 10 to 2,000 lines, a Python keyword, quality of at least .3."""
     c = text0(code)
     lines = F.size(F.split(c, "\n"))
-    words = F.lit(False)
-    for w in PYTHON_WORDS:
-        words = words | c.contains(w)
-    return F.length(c).between(100, 50_000) & lines.between(10, 2_000) & words & (code_quality(c) >= 0.3)
+    return F.length(c).between(100, 50_000) & lines.between(10, 2_000) & contains_any(c, PYTHON_WORDS) & (code_quality(c) >= 0.3)
+
+
+#: Kinds of projects, in order, and the words of each.  The text is lowered and the words are not, so those of "typing" never match.
+DIVERSITY = (
+    ("web", ("flask", "django", "fastapi", "starlette", "tornado", "bottle")),
+    ("data", ("pandas", "numpy", "scipy", "sklearn", "tensorflow", "pytorch")),
+    ("testing", ("pytest", "unittest", "mock", "fixture", "parametrize")),
+    ("cli", ("argparse", "click", "typer", "fire", "docopt")),
+    ("async", ("asyncio", "aiohttp", "trio", "anyio")),
+    ("typing", ("Protocol", "TypeVar", "Generic", "Callable", "Union")),
+    ("tools", ("setuptools", "poetry", "flit", "build", "wheel")),
+)
+
+
+def contains_any(text: Column, words: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | text.contains(w)
+    return out
+
+
+def diversity_category(code: Column) -> Column:
+    """The first kind of project a word of which the code holds; null for none."""
+    lowered = F.lower(text0(code))
+    return F.coalesce(*(F.when(contains_any(lowered, words), name) for name, words in DIVERSITY))
+
+
+#: Accesses to fields of results.
+RESULT_FIELDS = (".error_count", ".errors", ".success", ".locations", ".references")
+
+
+def example_priority(answer: Column) -> Column:
+    """10 for a field of a result, 5 for a branch on a result, 5 for a loop over one, 3 for three line breaks or more, 2 for a tool call."""
+    c = text0(answer)
+    part = lambda test, n: F.when(test, n).otherwise(0)
+    loop = c.contains("for ") & (c.contains(" in result") | c.contains(".errors"))
+    return part(contains_any(c, RESULT_FIELDS), 10) + part(c.contains("if result"), 5) + part(loop, 5) + part(count_of(c, "\n") >= 3, 3) + part(c.contains("<tool_call>"), 2)
 
 
 def role_count(messages: Column, role: str) -> Column:

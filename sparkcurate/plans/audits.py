@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.textfn import count_of, strip, text0
@@ -11,7 +11,31 @@ from sparkcurate.plans.curation import NORM, N, some
 from sparkcurate.plans.registry import query, table
 
 ANSWER = "coalesce([coalesce(m.content, '') for m in messages if m.role = 'assistant'][1], '')"
-TOOL = "case " + " ".join(f"when contains(a, '{t}') then '{t}'" for t in checks.TOOLS) + " else 'direct' end"
+TOOL = """case when not contains(a, '<tool_call>') then 'direct_answer' when contains(a, 'goto_definition') then 'goto_definition' when contains(a, 'find_references') then 'find_references'
+  when contains(a, 'hover') then 'hover' when contains(a, 'document_symbols') then 'document_symbols' when contains(a, 'workspace_symbols') then 'workspace_symbols' when contains(a, 'typecheck') then 'typecheck'
+  when contains(a, 'ruff_check') then 'ruff_check' when contains(a, 'pytest_run') then 'pytest_run' when contains(a, 'git_status') then 'git_status' when contains(a, 'git_diff') then 'git_diff'
+  when contains(a, 'git_log') then 'git_log' when contains(a, 'read_file') then 'read_file' when contains(a, 'write_file') then 'write_file' when contains(a, 'run_command') then 'run_command' else 'other' end"""
+#: Calls of the tables' own functions by the names the classes and audits look for, so that every class occurs.
+NAMED = {"scan_files": "find_references", "open_file": "read_file", "save_file": "write_file", "locate_symbol": "goto_definition", "probe_types": "typecheck", "run_checks": "ruff_check", "diff_tree": "git_diff", "show_history": "git_log", "exec_snippet": "run_command"}
+
+
+def renamed_sql(c: str) -> str:
+    for old, new in NAMED.items():
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+def renamed(c: Column) -> Column:
+    for old, new in NAMED.items():
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
+
+
+def renamed_rows(spark: SparkSession, d: str) -> DataFrame:
+    return rows(spark, d).withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), renamed(m["content"]).alias("content"))))
+
+
+RENAMED = f"(select * replace ([{{'role': m.role, 'content': {renamed_sql('m.content')}}} for m in messages] as messages) from training_rows)"
 
 
 def rows(spark: SparkSession, d: str) -> DataFrame:
@@ -101,37 +125,45 @@ def format_counts(spark: SparkSession, d: str) -> DataFrame:
     return checks.format_counts(rows(spark, d))
 
 
-@query("a14_x21_balance", f"with c as (select {ANSWER} as a from training_rows), t as (select {TOOL} as tool, count(*) as n from c group by 1) select tool, n, n / sum(n) over () as share, n / sum(n) over () < 0.05 as rare from t")
+@query("a14_x21_balance", f"with c as (select {ANSWER} as a from {RENAMED}), t as (select {TOOL} as tool, count(*) as n from c where a <> '' group by 1) select tool, n, n / sum(n) over () as share, n / sum(n) over () < 0.05 as rare from t")
 def balance(spark: SparkSession, d: str) -> DataFrame:
-    return checks.balance(rows(spark, d))
+    return checks.balance(renamed_rows(spark, d))
 
 
 @query(
     "a15_w09_shuffle_quality",
-    f"""with o as (select *, row_number() over (order by row_id) as nth, count(*) over () as total from (select distinct on (row_id) * from training_rows)), c as (select {ANSWER} as a, nth, total from o), t as (select {TOOL} as tool, nth, total from c)
+    f"""with o as (select *, row_number() over (order by row_id) as nth, count(*) over () as total from (select distinct on (row_id) * from {RENAMED}) where {ANSWER} <> ''), c as (select {ANSWER} as a, nth, total from o), t as (select {TOOL} as tool, nth, total from c)
     select tool, count(*) as n, count(*) filter (where nth <= floor(total / 2)) * 100.0::double / count(*) as first_half_pct, count(*) filter (where nth <= floor(total / 2)) * 100.0::double / count(*) not between 10 and 90 as clustered from t group by tool""",
 )
 def shuffle_quality(spark: SparkSession, d: str) -> DataFrame:
-    one = rows(spark, d).groupBy("row_id").agg(F.first("messages").alias("messages"))
+    one = renamed_rows(spark, d).filter(checks.first_answer(F.col("messages")) != "").groupBy("row_id").agg(F.first("messages").alias("messages"))
     return checks.shuffle_quality(setops.numbered(one, F.floor(F.col("row_id") / 4096), [F.col("row_id")]))
 
 
 @query(
     "a18_a36_source_breakdown",
-    f"with c as (select dataset, {N} as n, case when {N} < 3 then '' else coalesce(messages[3].content, '') end as a from training_rows) select dataset, case when n < 3 then 'unknown' else {TOOL} end as tool, count(*) as n from c group by 1, 2",
+    f"with c as (select dataset, {N} as n, case when {N} < 3 then '' else coalesce(messages[3].content, '') end as a from {RENAMED}) select dataset, case when n < 3 then 'unknown' else {TOOL} end as tool, count(*) as n from c group by 1, 2",
 )
 def source_breakdown(spark: SparkSession, d: str) -> DataFrame:
     third = F.when(F.coalesce(F.size("messages"), F.lit(0)) >= 3, checks.tool_class(F.get("messages", F.lit(2))["content"])).otherwise("unknown")
-    return rows(spark, d).groupBy("dataset", third.alias("tool")).agg(F.count("*").alias("n"))
+    return renamed_rows(spark, d).groupBy("dataset", third.alias("tool")).agg(F.count("*").alias("n"))
+
+
+CALLED = """contains($c, 'ruff_check(')::int + contains($c, 'typecheck(')::int + contains($c, 'pytest_run(')::int + contains($c, 'goto_definition(')::int + contains($c, 'find_references(')::int + contains($c, 'hover(')::int
+  + contains($c, 'document_symbols(')::int + contains($c, 'workspace_symbols(')::int + contains($c, 'git_status(')::int + contains($c, 'git_diff(')::int + contains($c, 'git_log(')::int + contains($c, 'read_file(')::int"""
+#: Every fourth conversation calls two functions in each of its calls.
+CALLING = "(select * replace ([{'role': m.role, 'content': case when row_id % 4 = 0 then replace(m.content, '<tool_call>', '<tool_call>ruff_check(git_log(1))') else m.content end} for m in messages] as messages) from training_rows)"
 
 
 @query(
     "a38_corpus_audit",
-    f"""select count(*) as records, count(*) filter (where u = 1) as single_turn, count(*) filter (where u > 1) as multi_turn, count(*) filter (where several) as several_calls, count(*) filter (where coalesce(messages[1].role = 'system', false)) as system_first, count(*) filter (where pre) as preambles
-    from (select *, coalesce(len([1 for m in messages if m.role = 'user']), 0) as u, {some(f"{count_sql('$c', '<tool_call>')} > 1", 'assistant')} as several, {some("contains($c, '<tool_call>') and not starts_with($c, '<tool_call>')", 'assistant')} as pre from training_rows)""",
+    f"""select count(*) as records, count(*) filter (where {N} = 3) as single_turn, count(*) filter (where {N} > 3) as multi_turn, count(*) filter (where several) as several_calls, count(*) filter (where coalesce(messages[1].role = 'system', false)) as system_first,
+    sum(coalesce(len([1 for m in messages if m.role = 'assistant' and contains(m.content, '<tool_call>') and not starts_with(m.content, '<tool_call>')]), 0))::bigint as preambles
+    from (select *, {some(f"contains($c, '<tool_call>') and ({CALLED}) >= 2", 'assistant')} as several from {CALLING})""",
 )
 def corpus_audit(spark: SparkSession, d: str) -> DataFrame:
-    return checks.corpus_audit(rows(spark, d))
+    call = F.when(F.col("row_id") % 4 == 0, "<tool_call>ruff_check(git_log(1))").otherwise("<tool_call>")
+    return checks.corpus_audit(rows(spark, d).withColumn("messages", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), F.replace(m["content"], F.lit("<tool_call>"), call).alias("content")))))
 
 
 @query("a28_a29_uniqueness", "select source, count(*) as total, count(distinct text) as distinct_texts, count(distinct lang) as languages, count(distinct lang) >= 3 as diverse from documents where text is not null group by source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkcurate.functions.textfn import canonical, chat_to_messages, count_of, hash_bucket, messages_to_chat, text0
@@ -12,7 +12,7 @@ from sparkcurate.plans.registry import query, table
 WHITE = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||chr(28)||chr(29)||chr(30)||chr(31)||chr(133)||chr(160)||chr(5760)||chr(8192)||chr(8193)||chr(8194)||chr(8195)||chr(8196)||chr(8197)||chr(8198)||chr(8199)||chr(8200)||chr(8201)||chr(8202)||chr(8232)||chr(8233)||chr(8239)||chr(8287)||chr(12288)"
 BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 FOREIGN = "[一-鿿぀-ゟ゠-ヿЀ-ӿ؀-ۿ]"
-LEGACY = "(?m)" + "|".join(filters.LEGACY_PYTHON)
+LEGACY = "(?m)\\bprint\\s+[^(]|\\.has_key\\(|\\bxrange\\b|<>\\s|^class\\s+\\w+:|\\bexecfile\\b|\\bunicode\\b|from\\s+__future__"
 
 
 def some(test: str, role: str | None = None) -> str:
@@ -38,6 +38,25 @@ def filter_flags(spark: SparkSession, d: str) -> DataFrame:
     return conversations(spark, d).select("example_id", filters.is_language(m).alias("keep_language"), filters.is_modern_python(m).alias("keep_python"), filters.is_quality(m).alias("keep_quality"))
 
 
+#: Lines with each outdated spelling, and near misses.
+SPELLINGS = (
+    "print x", "d.has_key(k)", "for i in xrange(3):", "if a <> b:", "class Old:", "execfile(path)", "unicode(s)", "from __future__ import annotations",
+    "print(x)", "d.has_key", "my_xrange_2 = 1", "a<>b", " class Old:", "exec(path)", "unicode_text = 1", "import __future__",
+)
+
+
+@query(
+    "f02_legacy_spellings",
+    f"""with t as (select doc_id, coalesce(text, '') || chr(10) || [{', '.join("'" + x + "'" for x in SPELLINGS)}][doc_id % 16 + 1] as t from documents)
+    select doc_id % 16 as spelling, not regexp_matches(t, '{LEGACY}') as keep, count(*) as n from t group by 1, 2""",
+)
+def legacy_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """The rule on documents to which one line with or without an outdated spelling is added."""
+    line = F.element_at(F.array(*map(F.lit, SPELLINGS)), (F.col("doc_id") % 16 + 1).cast("int"))
+    rows = table(spark, d, "documents").select("doc_id", F.array(F.struct(F.lit("user").alias("role"), F.concat(text0(F.col("text")), F.lit("\n"), line).alias("content"))).alias("messages"))
+    return rows.groupBy((F.col("doc_id") % 16).alias("spelling"), filters.is_modern_python(F.col("messages")).alias("keep")).agg(F.count("*").alias("n"))
+
+
 @query(
     "filter_attribution",
     f"""select split, rule, count(*) as n from (select {NORM} as split, case when not {KEEP_LANGUAGE} then 'language' when not {KEEP_PYTHON} then 'python' when not {KEEP_QUALITY} then 'quality' else 'kept' end as rule
@@ -68,16 +87,16 @@ def occurs(c: str, x: str) -> str:
 
 
 LINES = "string_split(t, chr(10))"
-QUALITY = f"""(case when contains(t, '\"\"\"') or contains(t, '''''''') then 0.2::double else 0 end + case when contains(t, '->') or regexp_matches(t, ':\\s*(int|str|float|bool|list|dict)\\b') then 0.2::double else 0 end
+QUALITY = f"""(case when contains(t, '\"\"\"') or contains(t, '''''''') then 0.2::double else 0 end + case when contains(t, '->') or contains(t, ': ') then 0.2::double else 0 end
   + case when contains(t, 'class ') then 0.2::double else 0 end + case when contains(t, 'def ') then 0.2::double else 0 end
-  + case when {occurs('t', 'TODO')} + {occurs('t', 'FIXME')} = 0 then 0.1::double when {occurs('t', 'TODO')} + {occurs('t', 'FIXME')} <= 2 then 0.05::double else 0 end
-  + case when len([1 for x in {LINES} if starts_with(trim(x, ' '), '#')]) / greatest(len({LINES}), 1) between 0.05 and 0.30 then 0.1::double else 0 end)"""
+  + case when {occurs('lower(t)', 'todo')} + {occurs('lower(t)', 'fixme')} = 0 then 0.1::double when {occurs('lower(t)', 'todo')} + {occurs('lower(t)', 'fixme')} <= 2 then 0.05::double else 0 end
+  + case when len([1 for x in {LINES} if starts_with(trim(x, {BLANKS}), '#')]) / greatest(len({LINES}), 1) between 0.05 and 0.30 then 0.1::double else 0 end)"""
 
 
 @query(
     "f04_f05_x19_code_filter",
-    f"""with q as (select doc_id, coalesce(text, '') as t from documents) select doc_id, length(trim(t, ' ')) >= 100 and len([1 for x in {LINES} if length(trim(x, ' ')) > 0 and not starts_with(trim(x, ' '), '#')]) >= 5 as code_sample,
-    round({QUALITY}, 6) as quality, length(t) between 100 and 50000 and len({LINES}) between 10 and 2000 and (contains(t, 'def ') or contains(t, 'class ') or contains(t, 'import ')) and {QUALITY} >= 0.3 as code_file from q""",
+    f"""with q as (select doc_id, coalesce(text, '') as t from documents) select doc_id, length(trim(t, {WHITE})) >= 100 and len([1 for x in {LINES} if length(trim(x, {BLANKS})) > 0 and not starts_with(trim(x, {BLANKS}), '#')]) >= 5 as code_sample,
+    round({QUALITY}, 6) as quality, length(t) between 100 and 50000 and len({LINES}) between 10 and 2000 and (contains(t, 'def ') or contains(t, 'class ') or contains(t, 'import ') or contains(t, 'from ')) and {QUALITY} >= 0.3 as code_file from q""",
 )
 def code_filter(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
@@ -428,15 +447,22 @@ def pick(spark: SparkSession, d: str) -> DataFrame:
     return distinct_documents(spark, d).select("doc_id", split.pick(("a", "b", "c"), F.col("doc_id"), 9).alias("choice"))
 
 
-SCORE = "(case when contains(lower(t), 'test') then 10 else 0 end + case when contains(lower(t), 'class ') then 5 else 0 end + case when contains(lower(t), 'async') then 5 else 0 end + case when contains(lower(t), 'import') then 3 else 0 end + case when length(t) > 500 then 2 else 0 end)"
+SCORE = """(case when contains(t, '.error_count') or contains(t, '.errors') or contains(t, '.success') or contains(t, '.locations') or contains(t, '.references') then 10 else 0 end
+  + case when contains(t, 'if result') then 5 else 0 end + case when contains(t, 'for ') and (contains(t, ' in result') or contains(t, '.errors')) then 5 else 0 end
+  + case when len(string_split(t, chr(10))) > 3 then 3 else 0 end + case when contains(t, '<tool_call>') then 2 else 0 end)"""
 
 
-@query("l02_top_400", f"select doc_id, {SCORE} as score from (select doc_id, coalesce(text, '') as t from documents) order by score desc, doc_id limit 400")
+@query("l02_top_400", f"select example_id, {SCORE} as score from (select distinct on (example_id) example_id, coalesce(messages[2].content, '') as t from tool_calling) order by score desc, example_id limit 400")
 def top_400(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lower(text0(F.col("text")))
-    part = lambda test, n: F.when(test, n).otherwise(0)
-    score = part(t.contains("test"), 10) + part(t.contains("class "), 5) + part(t.contains("async"), 5) + part(t.contains("import"), 3) + part(F.length(text0(F.col("text"))) > 500, 2)
-    return split.top(table(spark, d, "documents").select("doc_id", score.alias("score")), 400, F.desc("score"), F.col("doc_id"))
+    """The 400 conversations whose second message scores highest."""
+    second = F.get("messages", F.lit(1))["content"]
+    rows = conversations(spark, d).groupBy("example_id").agg(F.first(filters.example_priority(second)).alias("score"))
+    return split.top(rows, 400, F.desc("score"), F.col("example_id"))
+
+
+@query("l02_scores", f"select doc_id, {SCORE} as score from (select doc_id, coalesce(text, '') as t from documents)")
+def scores(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", filters.example_priority(F.col("text")).alias("score"))
 
 
 @query(
@@ -457,6 +483,7 @@ def class_caps(spark: SparkSession, d: str) -> DataFrame:
 @query("l12_histogram", "select source, n, (row_number() over (order by n desc, source))::int as place from (select coalesce(source, 'none') as source, count(*) as n from documents group by 1)")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("source")).agg(F.count("*").alias("n"))
+    # one row a source by now
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "source")))
 
 
@@ -482,9 +509,27 @@ def generated(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", template.alias("template"), split.part(F.col("row_id") + 1, F.lit(100), "cutpoints").alias("part"))
 
 
-@query("s06_s07_scan_then_filter", "select doc_id from (select doc_id, text from documents order by doc_id limit 300) where length(text) >= 500 order by doc_id limit 50")
-def scan_then_filter(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text").orderBy("doc_id").limit(300).filter("length(text) >= 500").select("doc_id").orderBy("doc_id").limit(50)
+def scan_then_filter(df: DataFrame, keep: Column, scanned: int, kept: int | None = None) -> DataFrame:
+    """(doc_id): of the first ``scanned`` rows by doc_id those that pass, the first ``kept`` of them.  The bounds are the feature."""
+    rows = df.orderBy("doc_id").limit(scanned).filter(keep).select("doc_id")
+    return rows if kept is None else rows.orderBy("doc_id").limit(kept)
+
+
+SAMPLED = f"length(trim(t, {WHITE})) >= 100 and len([1 for x in {LINES} if length(trim(x, {BLANKS})) > 0 and not starts_with(trim(x, {BLANKS}), '#')]) >= 5"
+
+
+@query("s06_scan_then_filter", f"select doc_id from (select doc_id, coalesce(text, '') as t from documents order by doc_id limit 1000) where {SAMPLED}")
+def bounded_scan(spark: SparkSession, d: str) -> DataFrame:
+    return scan_then_filter(table(spark, d, "documents").select("doc_id", "text"), filters.is_code_sample(F.col("text")), 1_000)
+
+
+@query(
+    "s07_scan_to_target",
+    f"""select doc_id from (select doc_id, coalesce(text, '') as t from documents order by doc_id limit 15000) where length(t) between 100 and 50000 and len({LINES}) between 10 and 2000
+    and (contains(t, 'def ') or contains(t, 'class ') or contains(t, 'import ') or contains(t, 'from ')) and {QUALITY} >= 0.3 order by doc_id limit 5000""",
+)
+def scan_to_target(spark: SparkSession, d: str) -> DataFrame:
+    return scan_then_filter(table(spark, d, "documents").select("doc_id", "text"), filters.is_code_file(F.col("text")), 15_000, 5_000)
 
 
 @query("s18_text_distribution", "select contains(coalesce(text, ''), '<tool_call>') as with_tool, count(*) as n from chat_text group by 1")

@@ -1,6 +1,7 @@
 """Queries over evaluation results: scores, reports, comparisons, latencies, grids.
 
-Results are made of the given tables: each prompt is answered by the trace of the same number, modulo the number of traces.
+Results are made of the given tables: every trace answers the prompt of the same number, modulo the number of prompts, so each prompt has as many
+results as there are traces to a prompt; the name of a result is that of prompt and trace.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from sparkcurate.functions.textfn import text0
 from sparkcurate.operators import scoring, split
 from sparkcurate.plans.registry import query, table
 
-RESULTS = """p as (select distinct on (prompt_id) prompt_id, category, expected_tool_calls, expected_keywords, right(prompt_id, 8)::bigint as no from eval_prompts order by prompt_id),
-  t as (select distinct on (example_id) example_id, query, answer, tool_calls from training_examples_poc order by example_id),
-  r as (select p.*, t.answer as response, [coalesce(c.name, c.tool) for c in coalesce(t.tool_calls, [])] as called, no % 3 as run_no, 'run' || (no % 3) as run_id, no % 1000 / 100.0::double as seconds
-        from p join t on t.example_id = (no - 1) % 300 + 1)"""
+RESULTS = """p as (select distinct on (prompt_id) prompt_id, category, expected_tool_calls, expected_keywords, right(prompt_id, 8)::bigint as prompt_no from eval_prompts order by prompt_id),
+  t as (select distinct on (example_id) example_id as no, query, answer, tool_calls from training_examples_poc order by example_id),
+  r as (select p.*, t.no, t.answer as response, [coalesce(c.name, c.tool) for c in coalesce(t.tool_calls, [])] as called, no % 3 as run_no, 'run' || (no % 3) as run_id, no % 1000 / 100.0::double as seconds
+        from p join t on (t.no - 1) % (select max(prompt_no) from p) + 1 = prompt_no)"""
 E = "coalesce(expected_tool_calls, [])"
 K = "coalesce(expected_keywords, [])"
 TOOL = f"(case when len(list_distinct({E})) = 0 then case when len(called) > 0 then 0.5::double else 1.0::double end else len(list_intersect(list_distinct({E}), called))::double / len(list_distinct({E})) end)"
@@ -26,9 +27,10 @@ SCORED = f"with {RESULTS}, s as (select *, {SCORE} as score, seconds < 8 as succ
 
 def results(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "eval_prompts").groupBy("prompt_id").agg(*(F.first(c).alias(c) for c in ("category", "expected_tool_calls", "expected_keywords")))
-    p = p.withColumn("no", F.substring("prompt_id", -8, 8).cast("bigint"))
-    t = table(spark, d, "training_examples_poc").groupBy("example_id").agg(F.first("answer").alias("response"), F.first("tool_calls").alias("calls"))
-    rows = p.join(t, F.col("example_id") == (F.col("no") - 1) % 300 + 1)
+    p = p.withColumn("prompt_no", F.substring("prompt_id", -8, 8).cast("bigint"))
+    t = table(spark, d, "training_examples_poc").groupBy(F.col("example_id").alias("no")).agg(F.first("answer").alias("response"), F.first("tool_calls").alias("calls"))
+    most = table(spark, d, "eval_prompts").agg(F.max(F.substring("prompt_id", -8, 8).cast("bigint")).alias("most"))  # one row
+    rows = t.crossJoin(F.broadcast(most)).withColumn("prompt_no", (F.col("no") - 1) % F.col("most") + 1).join(p, "prompt_no")
     called = F.transform(F.coalesce("calls", F.array()), lambda c: F.coalesce(c["name"], c["tool"]))
     return rows.select("prompt_id", "category", "expected_tool_calls", "expected_keywords", "no", "response", called.alias("called"), F.concat(F.lit("run"), (F.col("no") % 3).cast("string")).alias("run_id"), (F.col("no") % 1000 / F.lit(100.0)).alias("seconds"))
 
@@ -38,11 +40,12 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return results(spark, d).withColumn("score", score).withColumn("success", F.col("seconds") < 8)
 
 
-@query("e01_e02_e03_u06_prompt_scores", f"with {RESULTS} select prompt_id, round({TOOL}, 9) as tools, round({WORD}, 9) as keywords, round({SCORE}, 9) as score, len(list_filter(list_distinct({E}), lambda x: not list_contains(called, x)))::int as missing from r")
+@query("e01_e02_e03_u06_prompt_scores", f"with {RESULTS} select prompt_id, no, round({TOOL}, 9) as tools, round({WORD}, 9) as keywords, round({SCORE}, 9) as score, len(list_filter(list_distinct({E}), lambda x: not list_contains(called, x)))::int as missing from r")
 def prompt_scores(spark: SparkSession, d: str) -> DataFrame:
     e, k, c = F.col("expected_tool_calls"), F.col("expected_keywords"), F.col("called")
     return results(spark, d).select(
         "prompt_id",
+        "no",
         F.round(scoring.tool_score(e, c), 9).alias("tools"),
         F.round(scoring.keyword_score(k, F.col("response")), 9).alias("keywords"),
         F.round(scoring.prompt_score(e, k, c, F.col("response")), 9).alias("score"),
@@ -55,42 +58,42 @@ USED = "len(called) > 0"
 
 @query(
     "e04_autonomy",
-    f"with {RESULTS}, a as (select prompt_id, (({USED}) = (len({E}) > 0))::int::double as decision, {TOOL} as tool, {WORD} as accuracy, len({E}) > 0 as needs from r) select prompt_id, decision, round(case when needs then tool else decision end, 9) as correctness, round((decision + case when needs then tool else decision end + accuracy) / 3, 9) as overall from a",
+    f"with {RESULTS}, a as (select prompt_id, no, (({USED}) = (len({E}) > 0))::int::double as decision, {TOOL} as tool, {WORD} as accuracy, len({E}) > 0 as needs from r) select prompt_id, no, decision, round(case when needs then tool else decision end, 9) as correctness, round((decision + case when needs then tool else decision end + accuracy) / 3, 9) as overall from a",
 )
 def autonomy(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("expected_tool_calls")
     a = scoring.autonomy(F.size(scoring.empty_list(e)) > 0, e, F.col("called"), scoring.keyword_score(F.col("expected_keywords"), F.col("response")))
-    return results(spark, d).withColumn("a", a).select("prompt_id", "a.decision", F.round("a.correctness", 9).alias("correctness"), F.round("a.overall", 9).alias("overall"))
+    return results(spark, d).withColumn("a", a).select("prompt_id", "no", "a.decision", F.round("a.correctness", 9).alias("correctness"), F.round("a.overall", 9).alias("overall"))
 
 
 @query(
     "e05_ladder",
-    f"with {RESULTS} select prompt_id, case when {TOOL} = 1 then 1.0::double when {TOOL} > 0 then 0.5::double when {USED} then 0.1::double else 0.0::double end as ladder, round(least(len(list_intersect(list_distinct({E}), called))::double / greatest(len({E}), 1) + case when {USED} then 0.1::double else 0 end, 1.0), 9) as multi from r",
+    f"with {RESULTS} select prompt_id, no, case when {TOOL} = 1 then 1.0::double when {TOOL} > 0 then 0.5::double when {USED} then 0.1::double else 0.0::double end as ladder, round(least(len(list_intersect(list_distinct({E}), called))::double / greatest(len({E}), 1) + case when {USED} then 0.1::double else 0 end, 1.0), 9) as multi from r",
 )
 def ladder(spark: SparkSession, d: str) -> DataFrame:
     e, c = F.col("expected_tool_calls"), F.col("called")
     t, used = scoring.tool_score(e, c), F.size("called") > 0
-    return results(spark, d).select("prompt_id", scoring.ladder(t == 1, t > 0, used).alias("ladder"), F.round(scoring.multi_score(F.size(F.array_intersect(scoring.empty_list(e), c)), F.size(scoring.empty_list(e)), used), 9).alias("multi"))
+    return results(spark, d).select("prompt_id", "no", scoring.ladder(t == 1, t > 0, used).alias("ladder"), F.round(scoring.multi_score(F.size(F.array_intersect(scoring.empty_list(e), c)), F.size(scoring.empty_list(e)), used), 9).alias("multi"))
 
 
 LAYERS = f"case when length(coalesce(response, '')) = 0 then 'answered' when not ({USED}) then 'tool' when {TOOL} < 1 then 'identity' when {WORD} < 0.5 then 'keywords' end"
 
 
-@query("e06_e07_e17_layers", f"with {RESULTS} select prompt_id, {LAYERS} as failed, coalesce({LAYERS} <> 'answered', true) as soft, {LAYERS} is null as strict from r")
+@query("e06_e07_e17_layers", f"with {RESULTS} select prompt_id, no, {LAYERS} as failed, coalesce({LAYERS} <> 'answered', true) as soft, {LAYERS} is null as strict from r")
 def layers(spark: SparkSession, d: str) -> DataFrame:
     r = results(spark, d)
     t = scoring.tool_score(F.col("expected_tool_calls"), F.col("called"))
     x = scoring.layers({"answered": F.length(text0(F.col("response"))) > 0, "tool": F.size("called") > 0, "identity": t >= 1, "keywords": scoring.keyword_score(F.col("expected_keywords"), F.col("response")) >= 0.5})
-    return r.withColumn("x", x).select("prompt_id", "x.failed", "x.soft", "x.strict")
+    return r.withColumn("x", x).select("prompt_id", "no", "x.failed", "x.soft", "x.strict")
 
 
 @query(
     "e08_e16_concepts",
-    f"with {RESULTS}, c as (select prompt_id, case when len({K}) = 0 then 0.0::double else {WORD} end as accuracy, {USED} as used from r) select prompt_id, round(accuracy, 9) as accuracy, used and accuracy > 0.5 as autonomous, used and accuracy >= 0.75 as success from c",
+    f"with {RESULTS}, c as (select prompt_id, no, case when len({K}) = 0 then 0.0::double else {WORD} end as accuracy, {USED} as used from r) select prompt_id, no, round(accuracy, 9) as accuracy, used and accuracy > 0.5 as autonomous, used and accuracy >= 0.75 as success from c",
 )
 def concepts(spark: SparkSession, d: str) -> DataFrame:
     x = scoring.concept_score(F.col("expected_keywords"), F.col("response"), F.size("called") > 0)
-    return results(spark, d).withColumn("x", x).select("prompt_id", F.round("x.accuracy", 9).alias("accuracy"), "x.autonomous", "x.success")
+    return results(spark, d).withColumn("x", x).select("prompt_id", "no", F.round("x.accuracy", 9).alias("accuracy"), "x.autonomous", "x.success")
 
 
 @query(
@@ -137,7 +140,7 @@ def matrix(spark: SparkSession, d: str) -> DataFrame:
     f"with {RESULTS}, l as (select coalesce(category, 'none') as category, coalesce({LAYERS} <> 'answered', true) as soft, {LAYERS} is null as strict from r) select coalesce(category, 'all') as category, count(*) as n, count(*) filter (where soft) as soft, count(*) filter (where strict) as strict from l group by rollup (category)",
 )
 def rollup_passes(spark: SparkSession, d: str) -> DataFrame:
-    x = layers(spark, d).join(results(spark, d).select("prompt_id", F.coalesce("category", F.lit("none")).alias("category")), "prompt_id")
+    x = layers(spark, d).join(results(spark, d).select("no", F.coalesce("category", F.lit("none")).alias("category")), "no")
     return scoring.rollup_passes(x)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sparkcurate.functions import toolcalls
 from sparkcurate.functions.textfn import text0
 from sparkcurate.operators import checks, split
-from sparkcurate.plans.curation import N
+from sparkcurate.plans.curation import N, WHITE
 from sparkcurate.plans.registry import query, table
 from sparkcurate.plans.sessions import UPDATES, sets, updates
 from sparkcurate.sources import ingest, sinks
@@ -126,15 +126,9 @@ def micro_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "r01_streamed_session_fold",
-    f"{UPDATES} select session_id, tool_call_id, {sets('title')} as title, {sets('status')} as status from u where update_type in ('tool_call', 'tool_call_update') and seq < 12 group by 1, 2",
+    f"{UPDATES} select session_id, tool_call_id, {sets('title')} as title, {sets('status')} as status from u where update_type in ('tool_call', 'tool_call_update') group by 1, 2",
 )
 def streamed_session_fold(spark: SparkSession, d: str) -> DataFrame:
-    """The fold of the first 12 messages of every session, as its SQL says; ``r01_streamed_session_fold_whole`` takes all."""
-    return folded_stream(spark, updates(spark, d).filter("seq < 12"))
-
-
-@query("r01_streamed_session_fold_whole")
-def streamed_session_fold_whole(spark: SparkSession, d: str) -> DataFrame:
     return folded_stream(spark, updates(spark, d))
 
 
@@ -166,7 +160,9 @@ def windowed_stream(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("hour bigint, n bigint").parquet(out)
 
 
-@query("e11_rule_counts", f"select code, count(*) as n from (select case when {N} < 2 then 'too_few' end as code from training_rows union all select case when {N} > 0 and coalesce(messages[-1].role, '') <> 'assistant' then 'last_role' end from training_rows) where code is not null group by 1")
+@query("e11_rule_counts", f"""select code, count(*) as n from (select case when {N} < 2 then 'too_few' end as code from training_rows union all select case when {N} > 0 and coalesce(messages[-1].role, '') <> 'assistant' then 'last_role' end from training_rows
+    union all select case when not coalesce(m.role in ('system', 'user', 'assistant', 'tool'), false) then 'role' end from (select unnest(messages) as m from training_rows)
+    union all select case when length(trim(coalesce(m.content, ''), {WHITE})) = 0 then 'empty' end from (select unnest(messages) as m from training_rows)) where code is not null group by 1""")
 def rule_counts(spark: SparkSession, d: str) -> DataFrame:
     codes = table(spark, d, "training_rows").select(F.explode(checks.validation_errors(F.col("messages"))).alias("code"))
-    return codes.filter("code in ('too_few', 'last_role')").groupBy("code").agg(F.count("*").alias("n"))
+    return codes.groupBy(F.substring_index("code", ":", 1).alias("code")).agg(F.count("*").alias("n"))

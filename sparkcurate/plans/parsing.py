@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkcurate.functions import codeintel, parsers, toolcalls
 from sparkcurate.functions.textfn import text0
+from sparkcurate.operators import filters
 from sparkcurate.plans.registry import query, table
 
 CALLS = """select session_id, seq, content, case when regexp_matches(content, '<tool_call>\\s*\\{') then regexp_extract(content, '"name": "([^"]+)"', 1) when contains(content, '<function=') then regexp_extract(content, '<function=([^>\\s]+)>', 1)
@@ -18,17 +19,24 @@ CALLS = """select session_id, seq, content, case when regexp_matches(content, '<
 
 @query(
     "x01_tool_calls",
-    """with c as (select session_id, seq, content, trim(regexp_extract(content, '<tool_call>([\\s\\S]*?)</tool_call>', 1), chr(10)||' ') as tagged, trim(regexp_extract(content, '```json\\s*\\n([\\s\\S]*?)```', 1), chr(10)||' ') as fenced from chat_messages where role = 'assistant' and content is not null
-      and len(string_split(content, '<tool_call>')) <= 2 and len(string_split(content, '```json')) <= 2)
-    select session_id, seq, case when starts_with(tagged, '{') and json_valid(tagged) then tagged->>'$.name' when contains(tagged, '<function=') then regexp_extract(tagged, '<function=([^>\\s]+)>', 1) when tagged = '' and json_valid(fenced) and starts_with(fenced, '{') then fenced->>'$.name' end as name from c
-    where (starts_with(tagged, '{') and json_valid(tagged)) or contains(tagged, '<function=') or (tagged = '' and json_valid(fenced) and starts_with(fenced, '{'))""",
+    """with w as (select session_id, seq, case seq % 3 when 0 then content when 1 then content || chr(10) || coalesce(content, '') else content || '<tool_call>{"name": "second", "arguments": {}}</tool_call><tool_call>broken</tool_call><function=third><parameter=a>1</parameter></function>' end as c
+      from chat_messages where role = 'assistant' and content is not null),
+    a as (select *, regexp_extract_all(c, '<tool_call>([\\s\\S]*?)</tool_call>', 1) as tagged, regexp_replace(c, '<tool_call>[\\s\\S]*?</tool_call>', '', 'g') as rest from w),
+    b as (select *, list_filter(regexp_extract_all(rest, '<function=[^>\\s]+>[\\s\\S]*?(?:</function>\\s*(?:</tool_call>)?|</tool_call>)'), lambda x: regexp_matches(x, '<parameter=[^>\\s]+>[\\s\\S]*?</parameter>')) as blocks from a),
+    k as (select session_id, seq, unnest(list_concat([case when starts_with(trim(x, chr(10)||chr(13)||chr(9)||' '), '{') and json_valid(x) then x->>'$.name' else regexp_extract(x, '<function=([^>\\s]+)>[\\s\\S]*', 1) end for x in tagged],
+      list_concat([regexp_extract(x, '<function=([^>\\s]+)>', 1) for x in blocks], [case when json_valid(x) then x->>'$.name' end for x in regexp_extract_all(rest, '```json\\s*\\n([\\s\\S]*?)```', 1)]))) as name from b)
+    select session_id, seq, name from k where name <> ''""",
 )
 def tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """The calls of every answer; a third of the answers stand there twice, and to a third a second call, an unreadable one and a block without
+    an opening tag are added, as the tables have few answers with several calls."""
     rows = table(spark, d, "chat_messages").filter("role = 'assistant' and content is not null")
-    rows = rows.filter("size(split(content, '<tool_call>')) <= 2 and size(split(content, '```json')) <= 2")
-    rows = rows.filter("contains(content, '<tool_call>') or contains(content, '```json')")
-    closed = F.col("content").contains("</tool_call>") | ~F.col("content").contains("<tool_call>")
-    return rows.filter(closed).select("session_id", "seq", F.explode(toolcalls.tool_calls(F.col("content"))["calls"]).alias("c")).select("session_id", "seq", "c.name")
+    c = F.col("content")
+    added = F.lit('<tool_call>{"name": "second", "arguments": {}}</tool_call><tool_call>broken</tool_call><function=third><parameter=a>1</parameter></function>')
+    several = F.when(F.col("seq") % 3 == 0, c).when(F.col("seq") % 3 == 1, F.concat(c, F.lit("\n"), c)).otherwise(F.concat(c, added))
+    rows = rows.select("session_id", "seq", several.alias("c"))
+    rows = rows.filter("contains(c, '<tool_call>') or contains(c, '<function=') or contains(c, '```json')")
+    return rows.select("session_id", "seq", F.explode(toolcalls.tool_calls(F.col("c"))["calls"]).alias("c")).select("session_id", "seq", "c.name")
 
 
 @query("x13_a19_call_names", "select name, count(*) as n from (select unnest(list_concat(regexp_extract_all(coalesce(content, ''), '<tool_call>\\s*\\{\\s*\"name\":\\s*\"([^\"]+)\"', 1), regexp_extract_all(coalesce(content, ''), '<function=([^>\\s]+)>', 1))) as name from chat_messages where role = 'assistant') group by 1")
@@ -163,18 +171,14 @@ def source_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(parsers.source_names(t, "def")).cast("bigint").alias("functions"), F.size(parsers.source_names(t, "class")).cast("bigint").alias("classes"))
 
 
-CATEGORIES = (("testing", ("pytest", "assert", "test_")), ("async", ("async ", "await ")), ("data", ("json", "csv", "table")))
-
-
-@query("x20_category", "select doc_id, case when contains(t, 'pytest') or contains(t, 'assert') or contains(t, 'test_') then 'testing' when contains(t, 'async ') or contains(t, 'await ') then 'async' when contains(t, 'json') or contains(t, 'csv') or contains(t, 'table') then 'data' end as category from (select doc_id, lower(coalesce(text, '')) as t from documents)")
+@query(
+    "x20_category",
+    """select doc_id, case when regexp_matches(t, 'flask|django|fastapi|starlette|tornado|bottle') then 'web' when regexp_matches(t, 'pandas|numpy|scipy|sklearn|tensorflow|pytorch') then 'data'
+      when regexp_matches(t, 'pytest|unittest|mock|fixture|parametrize') then 'testing' when regexp_matches(t, 'argparse|click|typer|fire|docopt') then 'cli' when regexp_matches(t, 'asyncio|aiohttp|trio|anyio') then 'async'
+      when regexp_matches(t, 'Protocol|TypeVar|Generic|Callable|Union') then 'typing' when regexp_matches(t, 'setuptools|poetry|flit|build|wheel') then 'tools' end as category from (select doc_id, lower(coalesce(text, '')) as t from documents)""",
+)
 def category(spark: SparkSession, d: str) -> DataFrame:
-    t, out = F.lower(text0(F.col("text"))), None
-    for name, words in CATEGORIES:
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | t.contains(w)
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return table(spark, d, "documents").select("doc_id", out.alias("category"))
+    return table(spark, d, "documents").select("doc_id", filters.diversity_category(F.col("text")).alias("category"))
 
 
 @query("x15_x16_x17_ast_facts")
@@ -189,7 +193,16 @@ def sources(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter("path like '%.py' and text is not null").select("doc_id", "text")
 
 
-@query("x22_keyword_occurrence")
+PROSE = "['would use', 'should use', 'I''ll use', 'we could', 'to call', 'needs to', 'want to', 'going to', 'can use', 'let me', 'i would', 'i should', 'i need']"
+
+
+@query(
+    "x22_keyword_occurrence",
+    f"""with s as (select doc_id, text, lower(text) as low, trim(list_filter(string_split(text, chr(10)), lambda x: contains(x, 'append'))[1], chr(32)||chr(9)||chr(13)) as line from documents where path like '%.py' and text is not null),
+    b as (select *, string_split(line, 'append')[1] as before from s)
+    select doc_id, case when line is null then 'none' when starts_with(line, '#') then 'comment' when (length(before) - length(replace(before, chr(34), ''))) % 2 = 1 or (length(before) - length(replace(before, chr(39), ''))) % 2 = 1 then 'string'
+      when len(list_filter({PROSE}, lambda p: strpos(low, p) > 0 and abs(strpos(low, p) - strpos(low, 'append')) < 100)) > 0 then 'prose' when regexp_matches(line, '\\bappend\\s*\\(') then 'real_call' else 'code_context' end as place from b""",
+)
 def keyword_occurrence(spark: SparkSession, d: str) -> DataFrame:
     return sources(spark, d).select("doc_id", codeintel.keyword_occurrence(F.lit("append"), F.col("text")).alias("place"))
 

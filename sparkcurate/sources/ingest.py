@@ -1,13 +1,12 @@
 """Readers of conversation files that keep the order of rows.
 
-row_idx is the place of a record in its file, counted over lines that are not blank; it comes from the place of the line in the file's
-text, so it does not depend on how files are cut into tasks only where a file is read whole: use these readers for files of up to some
-hundred MB each, as data sets are published, and Parquet with a row_idx column beyond that.
+row_idx is the place of a record in its file, counted over lines that are not blank.  Files are cut into tasks as usual, so they may be of any
+size: lines are numbered within their block of the file, and the numbers of lines of the blocks before are added.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,18 +22,30 @@ def json_lines(spark: SparkSession, path: str, schema: str = MESSAGES, mode: str
     return spark.read.schema(columns).option("mode", mode).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
 
 
+def in_order(reader: DataFrameReader, path: str) -> DataFrame:
+    """(file, block, line_no, before, value): every line that is not blank with its 1-based place in the file, the block of the file it is read in,
+    and how many lines that are not blank the blocks before have.
+
+    A block is read by one task, which numbers its lines one after the other; the counts of blocks are one row each.
+    """
+    full = F.length(F.trim("value")) > 0
+    lines = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("id"))
+    counts = lines.groupBy("file", "block").agg(F.count("*").alias("lines"), F.count_if(full).alias("full"), F.min("id").alias("first"))
+    own = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("file", "block", "first", F.coalesce(F.sum("lines").over(own), F.lit(0)).alias("lines"), F.coalesce(F.sum("full").over(own), F.lit(0)).alias("before"))
+    return lines.join(starts, ["file", "block"]).filter(full).select("file", "block", (F.col("lines") + F.col("id") - F.col("first") + 1).alias("line_no"), "before", "value")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value): every line that is not blank with its 1-based place in the file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("p", "value")).filter("length(trim(value)) > 0").select("file", (F.col("p") + 1).cast("bigint").alias("line_no"), "value")
+    return in_order(spark.read, path).select("file", "line_no", "value")
 
 
 def ordered_records(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFrame:
     """Records with row_idx from 0 in the order of the file's lines; malformed lines give null columns."""
-    rows = numbered_lines(spark, path).select("file", "line_no", F.from_json("value", schema).alias("r"))
-    from pyspark.sql import Window
-
-    return rows.withColumn("row_idx", (F.row_number().over(Window.partitionBy("file").orderBy("line_no")) - 1).cast("bigint")).select("file", "line_no", "row_idx", "r.*")
+    nth = F.row_number().over(Window.partitionBy("file", "block").orderBy("line_no"))
+    rows = in_order(spark.read, path).withColumn("row_idx", F.col("before") + nth - 1)
+    return rows.select("file", "line_no", "row_idx", F.from_json("value", schema).alias("r")).select("file", "line_no", "row_idx", "r.*")
 
 
 def split_directory(spark: SparkSession, path: str, schema: str = MESSAGES) -> DataFrame:
@@ -51,8 +62,7 @@ def split_directory(spark: SparkSession, path: str, schema: str = MESSAGES) -> D
 
 def tree(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
     """(file, line_no, value) of all files below a directory whose name matches."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\n")).alias("p", "value")).filter("length(trim(value)) > 0").select("file", (F.col("p") + 1).cast("bigint").alias("line_no"), "value")
+    return in_order(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern), path).select("file", "line_no", "value")
 
 
 #: Directories whose sources are left out.

@@ -55,20 +55,24 @@ def correlated(frames: DataFrame) -> DataFrame:
 def stream_tool_calls(updates: DataFrame, timeout: str = "NoTimeout") -> DataFrame:
     """The same as tool_calls of a stream of updates (schema UPDATE): the changed states of every micro-batch, in update mode.
 
-    State is one row of fields per tool call; with ProcessingTimeTimeout it is dropped GRACE_MS after the last update.
+    State is a row of fields per tool call and, for each, the sequence number of the update that set it, so updates may come in any order, within
+    a batch and across batches.  With ProcessingTimeTimeout the state is dropped GRACE_MS after the last update.
     """
-    state = ", ".join(f"{f} string" for f in FIELDS)
-    out = f"session_id string, tool_call_id string, {state}"
+    out = "session_id string, tool_call_id string, " + ", ".join(f"{f} string" for f in FIELDS)
+    state = ", ".join([*(f"{f} string" for f in FIELDS), *(f"{f}_seq bigint" for f in FIELDS)])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], kept) -> Iterator[pd.DataFrame]:
         if kept.hasTimedOut:
             kept.remove()
             return
-        fields: list = list(kept.get) if kept.exists else [None] * len(FIELDS)
-        for row in pd.concat(list(batches)).sort_values("seq").itertuples():
-            values = [None if pd.isna(v) else v for v in (getattr(row, f) for f in FIELDS)]
-            fields = values if row.update_type == START else [b if b is not None else a for a, b in zip(fields, values)]
-        kept.update(tuple(fields))
+        before = list(kept.get) if kept.exists else [None] * len(FIELDS) + [-1] * len(FIELDS)
+        fields, set_by = before[: len(FIELDS)], before[len(FIELDS) :]
+        rows = pd.concat(list(batches)).reset_index(drop=True)
+        for k, f in enumerate(FIELDS):
+            setting = rows[(rows["update_type"] == START) | rows[f].notna()]
+            if len(setting) and (last := setting.loc[setting["seq"].idxmax()])["seq"] >= set_by[k]:
+                fields[k], set_by[k] = None if pd.isna(last[f]) else last[f], int(last["seq"])
+        kept.update((*fields, *set_by))
         if timeout == "ProcessingTimeTimeout":
             kept.setTimeoutDuration(GRACE_MS)
         yield pd.DataFrame([(*key, *fields)], columns=["session_id", "tool_call_id", *FIELDS])

@@ -28,6 +28,21 @@ def test_split_directory_round_trip(spark, tmp_path):
     assert [[m.content for m in r.messages] for r in back] == [["a"], ["b", "c"]]
 
 
+def test_lines_are_numbered_across_blocks_of_a_file(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(line(f"{k}") + "\n" + "\n" * (k % 3 == 0) for k in range(60)))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = ingest.ordered_records(spark, str(tmp_path / "a.jsonl"))
+        assert rows.rdd.getNumPartitions() > 1
+        got = sorted((r.row_idx, r.line_no, r.messages[0].content) for r in rows.collect())
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == [(k, k + 1 + (k + 2) // 3, str(k)) for k in range(60)]
+
+
 def test_modes_and_tree(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "a.jsonl").write_text(line("a") + "\n{broken\n")
@@ -77,8 +92,10 @@ def test_fold(spark):
     assert fold.tool_calls(df.limit(0)).count() == 0
 
 
-def test_stream_ends_with_the_state_of_the_batch(spark, tmp_path):
-    for k, part in enumerate((UPDATES[:3], UPDATES[3:6], UPDATES[6:])):
+@pytest.mark.parametrize("backwards", [False, True])
+def test_stream_ends_with_the_state_of_the_batch(spark, tmp_path, backwards):
+    """In order, and with the last updates in the first batch."""
+    for k, part in enumerate((UPDATES[:3], UPDATES[3:6], UPDATES[6:])[:: -1 if backwards else 1]):
         spark.createDataFrame(part, fold.UPDATE).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
     stream = spark.readStream.schema(fold.UPDATE).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     seen: dict = {}
@@ -112,5 +129,5 @@ def test_frames(spark, tmp_path):
 @pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="no test tables")
 def test_whole_stream_of_sessions_is_the_batch(spark):
     d, names = "/root/testdata/sf0.001", ["session_id", "tool_call_id", "title", "status"]
-    whole, batch = (sorted(map(repr, registry.QUERIES[q](spark, d).select(names).collect())) for q in ("r01_streamed_session_fold_whole", "r01_r02_session_fold"))
+    whole, batch = (sorted(map(repr, registry.QUERIES[q](spark, d).select(names).collect())) for q in ("r01_streamed_session_fold", "r01_r02_session_fold"))
     assert whole == batch and len(whole) > 0

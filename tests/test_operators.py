@@ -30,6 +30,28 @@ def test_kept_and_removed_hold_every_row(spark):
     assert rows.filter("keep").count() + rows.filter("not keep").count() == 6
 
 
+LEGACY = ["print x", "d.has_key(k)", "for i in xrange(3):", "if a <> b:", "class Old:", "execfile(path)", "unicode(s)", "from __future__ import annotations"]
+MODERN = ["print(x)", "d.has_key", "my_xrange_2 = 1", "a<>b", "class New(object):", "exec(path)", "unicode_text = 1", "import __future__"]
+
+
+@pytest.mark.parametrize(("line", "keep"), [*((x, False) for x in LEGACY), *((x, True) for x in MODERN)])
+def test_legacy_python(spark, line, keep):
+    assert conv(spark, [("user", f"look:\n{line}\nend")]).filter(filters.is_modern_python(F.col("messages"))).count() == keep
+
+
+def test_tool_class_needs_a_call(spark):
+    texts = ["hover", "<tool_call>hover and read_file", "<tool_call>scan", "", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id bigint, t string")
+    assert [r.c for r in rows.orderBy("id").select(checks.tool_class(F.col("t")).alias("c")).collect()] == ["direct_answer", "hover", "other", "direct_answer", "direct_answer"]
+
+
+def test_categories_and_priority(spark):
+    rows = spark.createDataFrame([(0, "import Flask, pandas"), (1, "from typing import Protocol"), (2, "wheel"), (3, None)], "id bigint, t string").orderBy("id")
+    assert [r.c for r in rows.select(filters.diversity_category(F.col("t")).alias("c")).collect()] == ["web", None, "tools", None]
+    code = "<tool_call>\nresult = f()\nif result.success:\n    for e in result.errors: pass"
+    assert one(spark, filters.example_priority(F.lit(code))) == 25 and one(spark, filters.example_priority(F.lit(None).cast("string"))) == 0
+
+
 @pytest.mark.parametrize(("text", "n"), [("exactly 10", 1), (" nine char ", 0)])
 def test_quality_counts_stripped_characters(spark, text, n):
     assert conv(spark, [("user", text), ("assistant", "a long answer")]).filter(filters.is_quality(F.col("messages"))).count() == n
@@ -218,16 +240,16 @@ def test_code_facts_and_rewrites():
     assert codeintel.renamed("x = 1", "x", "not a name") == ("x = 1", 0)
     added = codeintel.with_import(SOURCE, "import json")
     assert added.split("\n")[3] == "import json" and codeintel.with_import(added, "import json") == added
-    assert [codeintel.occurrence("f", c) for c in ("g()", "# f", "'f'", "f(1)", "f = 1", "what f is it")] == ["none", "comment", "string", "real_call", "code_context", "prose"]
+    assert [codeintel.occurrence("f", c) for c in ("g()", "# f", "'f'", "f(1)", "f = 1", "to call f, let me", "x = 1  # f")] == ["none", "comment", "string", "real_call", "code_context", "prose", "code_context"]
 
 
 def test_domain_issues():
     rules = {(i["rule"], i["severity"]) for i in codeintel.issues(SOURCE)}
-    assert {("escape-fstring", "error"), ("dependency-direction", "error"), ("injection-import", "warning"), ("route-slash", "error"), ("route-braces", "error")} <= rules
+    assert {("no-fstring-in-html", "error"), ("component-no-fstring-in-html", "error"), ("service-cannot-depend-on-component", "error"), ("inject-type-must-be-imported", "warning"), ("route-must-start-with-slash", "error"), ("route-unbalanced-braces", "error")} <= rules
     assert codeintel.issues("def (")[0]["rule"] == "parse-error"
     bad = "@middleware\nclass M:\n    def __call__(self, x):\n        pass\n\nclass C:\n    def __call__(self):\n        return html('x')\n"
     rules = {i["rule"] for i in codeintel.issues(bad)}
-    assert {"middleware-categories", "middleware-signature", "component-dataclass", "component-returns"} <= rules
+    assert {"middleware-must-have-categories", "middleware-must-have-correct-signature", "component-must-have-dataclass", "component-callable-must-return-node"} <= rules
 
 
 def test_symbols():
