@@ -230,3 +230,31 @@ def verified(pairs: DataFrame, bags: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([float(sim[i]) for i in keep], pa.float64())], ["a", "b", "sim"])
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "ca", "wb", "cb").mapInArrow(check, "a bigint, b bigint, sim double")
+
+
+#: A fingerprint with more members than this is cut into cells of about as many, each joined by a task of its own.
+CELL = 2000
+
+
+def expanded(pairs: DataFrame, left: DataFrame, right: DataFrame, cell: int = CELL) -> DataFrame:
+    """pairs (a, b, ...) joined with the members of both: left (fp, ...) of a and right (fp, ...) of b, which share no other column name.
+
+    Members of a fingerprint with very many are spread over cells by their hash, and its pairs are repeated for every cell, so no key of the
+    joins has more than about ``cell`` rows on the members' side and no row is lost.
+    """
+
+    def crowded(members: DataFrame) -> DataFrame:
+        return written(members.groupBy("fp").agg(F.ceil(F.count("*") / cell).cast("int").alias("cells")).filter("cells > 1"), "cells")
+
+    def keyed(members: DataFrame, crowd: DataFrame, key: str, part: str) -> DataFrame:
+        rows = members.join(crowd, "fp", "left")
+        own = F.pmod(F.xxhash64(*members.columns), F.coalesce("cells", F.lit(1))).cast("int")
+        return rows.withColumn(part, own).drop("cells").withColumnRenamed("fp", key)
+
+    of_a, of_b = crowded(left), crowded(right)
+    if of_a.isEmpty() and of_b.isEmpty():
+        return pairs.join(left.withColumnRenamed("fp", "a"), "a").join(right.withColumnRenamed("fp", "b"), "b")
+    every = lambda: F.explode(F.sequence(F.lit(0), F.coalesce("cells", F.lit(1)) - 1))
+    cells = pairs.join(of_a.withColumnRenamed("fp", "a"), "a", "left").withColumn("cell_a", every()).drop("cells")
+    cells = cells.join(of_b.withColumnRenamed("fp", "b"), "b", "left").withColumn("cell_b", every()).drop("cells")
+    return cells.join(keyed(left, of_a, "a", "cell_a"), ["a", "cell_a"]).join(keyed(right, of_b, "b", "cell_b"), ["b", "cell_b"]).drop("cell_a", "cell_b")

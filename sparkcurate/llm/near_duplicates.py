@@ -3,16 +3,17 @@
 Plan: (1) one pass counts in how many different bags each two-word shingle bucket occurs, in a table of fixed size; (2) one
 pass tokenises, weighs shingles by tf-idf and draws SAMPLES consistent weighted samples a record: two records agree in
 a sample with a probability equal to their weighted Jaccard similarity; the samples form BANDS bands of ROWS, each sample in two.
-Records of one bag of words are one fingerprint from here on.  (3) Records that share a band are candidates; those whose
-share of equal samples is under LEAST_SHARE are dropped; (4) the rest is verified on the whole bags: weighted Jaccard
-similarity of the word counts of at least 2/3, which is the same as a similarity (Dice) of at least 0.8.
+Records of one bag of words are one fingerprint from here on.  (3) Records that share a band are candidates; (4) every candidate
+is verified on the whole bags: weighted Jaccard similarity of the word counts of at least 2/3, which is the same as a similarity
+(Dice) of at least 0.8.
 
 Two-word shingles are used, not five-word ones, because the similarity asked for is one of words: with edits spread
 evenly, records with four fifths of their words in common may share few runs of five.
 
 A band that very many different bags share (more than HOT) is not expanded into pairs; its records go through an exact
 prefix filter instead: two bags of Jaccard similarity t share at least one of their first n - ceil(t n) + 1 words in any
-fixed order of all words, here the order of rarity.  So no pair is lost there, and no group is expanded.
+fixed order of all words, here the order of rarity.  A word in the prefixes of very many bags is joined in cells.  So no pair is lost
+there, and no task gets an unbounded group.
 
 Nulls and blanks count as no words; records under 20 words are in no pair; a row delivered twice counts once; extra
 columns are ignored; empty tables give no rows.
@@ -25,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.bags import MIX1, U64, arrow_columns, bags_of, blocks, counted, counts_of, mixed, runs, shingle_counts, verified, words_of
+from sparkcurate.llm.bags import CELL, MIX1, U64, arrow_columns, bags_of, blocks, counted, counts_of, expanded, mixed, runs, shingle_counts, verified, words_of
 from sparkcurate.llm.shared import written
 
 SHINGLE, BUCKET_BITS = 2, 16
@@ -36,7 +38,6 @@ BANDS, ROWS, SAMPLES = 60, 3, 90
 #: The samples of each band: three neighbours, and three a third of all samples apart; two bands share at most one sample.
 PARTS = np.concatenate([np.arange(SAMPLES).reshape(-1, ROWS), np.arange(SAMPLES).reshape(ROWS, -1).T])
 LEAST_WORDS, LEAST_SIMILARITY = 20, 0.8
-LEAST_SHARE = 0.12
 HOT = 1000
 
 
@@ -84,12 +85,12 @@ class Sampler:
         return out.view(np.uint32)
 
 
-SCHEMA = "src string, id bigint, n int, fp bigint, words binary, counts binary, bands array<bigint>, sample binary"
-ARROW = pa.schema([("src", pa.string()), ("id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("bands", pa.list_(pa.int64())), ("sample", pa.binary())])
+SCHEMA = "src string, id bigint, n int, fp bigint, words binary, counts binary, sample binary"
+ARROW = pa.schema([("src", pa.string()), ("id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("sample", pa.binary())])
 
 
 def features(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """src, id, n, fingerprint, bag, bands and sample bytes of every record with enough words; texts: src, id, text."""
+    """src, id, n, fingerprint, bag and samples (16 bits each) of every record with enough words; texts: src, id, text."""
     seen, records = shingle_counts(texts, SHINGLE, BUCKET_BITS, least_words)
     idf = np.log(1 + records / np.maximum(seen, 1)).astype(np.float64)
     shared = texts.sparkSession.sparkContext.broadcast(idf)
@@ -110,21 +111,14 @@ def features(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
                 ok = (n >= least_words)[owner]
                 h, tf, owner = h[ok], tf[ok], owner[ok]
                 s = sampler.draw(mixed(h), tf * weight[(h & U64((1 << BUCKET_BITS) - 1)).astype(np.intp)], np.searchsorted(owner, keep))
-                salt = np.array([int.from_bytes(src[k].encode()[-8:]) for k in keep], U64)
-                bands = np.empty((len(keep), BANDS), U64)
-                for b in range(BANDS):
-                    x = salt * MIX1 + U64(b)
-                    for row in s[PARTS[b]]:
-                        x = mixed(x ^ row.astype(U64)) + U64(1)
-                    bands[:, b] = x
-                low = mixed(s.astype(U64)).astype(np.uint8).T.copy()
+                salt = np.array([xxhash.xxh3_64_intdigest(src[k].encode()) for k in keep], U64)
+                low = mixed(s.astype(U64) ^ salt).astype(np.uint16).T.copy()  # tables share no samples
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([src[k] for k in keep], pa.string()),
                         pa.array([keys[i + k] for k in keep], pa.int64()),
                         pa.array(n[keep].astype(np.int32)),
                         *(pa.array([bags[k][c] for k in keep], kind) for c, kind in ((0, pa.int64()), (1, pa.binary()), (2, pa.binary()))),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * BANDS), pa.array(bands.view(np.int64).ravel())),
                         pa.array([x.tobytes() for x in low], pa.binary()),
                     ],
                     schema=ARROW,
@@ -133,74 +127,124 @@ def features(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return texts.select("src", "id", "text").mapInArrow(run, SCHEMA)
 
 
-def band_pairs(feats: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b of fingerprints that share a band, fingerprints of bands shared by more than ``hot``).
+def bands_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, fp) of every (fp, sample): the hash of a band's number and its samples."""
+    for batch in batches:
+        fp = batch.column(0).to_numpy()
+        for i in range(0, len(fp), 2048):
+            own = fp[i : i + 2048]
+            s = np.frombuffer(b"".join(batch.column(1)[i : i + 2048].to_pylist()), np.uint16).reshape(len(own), SAMPLES).astype(U64)
+            x = (s[:, PARTS[:, 0]] << U64(32)) | (s[:, PARTS[:, 1]] << U64(16)) | s[:, PARTS[:, 2]]
+            x = mixed(mixed(x) ^ np.arange(1, BANDS + 1, dtype=U64))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64).ravel()), pa.array(np.repeat(own, BANDS))], ["band", "fp"])
 
-    Bands of one fingerprint are dropped in the first aggregation, those of two give their pair there; only larger
-    ones join the rows again.
-    """
-    one = feats.groupBy("fp").agg(F.first("bands").alias("bands"))
-    rows = one.select(F.explode("bands").alias("band"), "fp")
-    groups = written(rows.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "bands")
-    more = feats.select(F.explode("bands").alias("band"), "fp").join(groups.filter("n > 2").select("band", "n"), "band").distinct()
-    some = more.filter(F.col("n") <= hot).select("band", "fp")
-    pairs = some.select("band", F.col("fp").alias("a")).join(some.select("band", F.col("fp").alias("b")), "band").filter("a < b").select("a", "b")
-    return groups.filter("n = 2").select("a", "b").unionByName(pairs).distinct(), more.filter(F.col("n") > hot).select("fp").distinct()
-
-
-def prefix_pairs(feats: DataFrame, some: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """All pairs among the fingerprints ``some`` that can reach the similarity: those that share a word of their prefixes
-    and whose sizes allow it.  Exact, for bags that no band can tell apart."""
-    t = least / (2 - least)
-    bags = feats.join(some, "fp", "left_semi").groupBy("fp").agg(F.first("words").alias("words"), F.first("counts").alias("counts"), F.first("n").alias("n"))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pairs_in_order(hot: int):
+    """A function over (band, fp) in order of band and fp: (a, b), a < b, for every two fingerprints of a band; of a band of more than ``hot`` only (fp, null)
+    for each.  A task holds no more than one batch and ``hot`` rows of the band before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(band: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+            begin = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+            size = np.diff(np.append(begin, len(band)))
+            for n in np.unique(size[(size > 1) & (size <= hot)]):
+                first = begin[size == n]
+                i, j = np.triu_indices(n, 1)
+                for k in range(0, len(first), max(1, (1 << 20) // len(i))):
+                    at = first[k : k + max(1, (1 << 20) // len(i)), None]
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[at + i].ravel()), pa.array(fp[at + j].ravel())], ["a", "b"])
+            crowd = np.repeat(size > hot, size)
+            if crowd.any():
+                yield pa.RecordBatch.from_arrays([pa.array(fp[crowd]), pa.nulls(int(crowd.sum()), pa.int64())], ["a", "b"])
+
+        band, fp, running = np.empty(0, np.int64), np.empty(0, np.int64), None
         for batch in batches:
-            fp, word, size = [], [], []
-            for r in batch.to_pylist():
-                words = np.frombuffer(r["words"], np.uint32)
-                every = np.repeat(words.astype(np.int64), counts_of(r["counts"], len(words)))
-                nth = np.arange(len(every)) - np.searchsorted(every, every)
-                # the k-th time of a word is an element of its own: that makes the multiset a set
-                element = np.sort(mixed(every.astype(U64) * MIX1 + nth.astype(U64)).view(np.int64))
-                keep = element[: r["n"] - math.ceil(t * r["n"] - 1e-9) + 1]
-                fp += [r["fp"]] * len(keep)
-                word += keep.tolist()
-                size += [r["n"]] * len(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(word, pa.int64()), pa.array(size, pa.int32())], ["fp", "word", "n"])
-
-    rows = bags.mapInArrow(explode, "fp bigint, word bigint, n int")
-    return (
-        rows.select("word", F.col("fp").alias("a"), F.col("n").alias("na"))
-        .join(rows.select("word", F.col("fp").alias("b"), F.col("n").alias("nb")), "word")
-        .filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t - 1e-9)))
-        .select("a", "b")
-        .distinct()
-    )
-
-
-def estimated(pairs: DataFrame, feats: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """The pairs whose samples agree often enough; a true pair's share is its weighted Jaccard similarity on average."""
+            band, fp = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((band, fp)))
+            if running is not None:  # a band already found to be crowded goes on
+                more = int(np.searchsorted(band != running, True))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[:more]), pa.nulls(more, pa.int64())], ["a", "b"])
+                band, fp = band[more:], fp[more:]
+                running = running if not len(band) else None
+            if len(band):
+                last = int(np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))[-1])
+                yield from of(band[:last], fp[:last])
+                band, fp = band[last:], fp[last:]
+                if len(band) > hot:
+                    running = band[0]
+                    yield from of(band, fp)
+                    band, fp = band[:0], fp[:0]
+        yield from of(band, fp)
+
+    return run
+
+
+def band_pairs(feats: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(pairs a < b of fingerprints that share a band, fingerprints of bands shared by more than ``hot``): one shuffle of (band, fingerprint),
+    once per fingerprint."""
     one = feats.groupBy("fp").agg(F.first("sample").alias("sample"))
+    rows = one.select("fp", "sample").mapInArrow(bands_of, "band bigint, fp bigint").repartition("band").sortWithinPartitions("band", "fp")
+    found = written(rows.select("band", "fp").mapInArrow(pairs_in_order(hot), "a bigint, b bigint").distinct(), "bands")
+    return found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("fp"))
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def elements(words: bytes, counts: bytes, src: str) -> np.ndarray:
+    """The k-th time of a word in a bag of a table as an element of its own, which makes the multiset a set."""
+    own = np.frombuffer(words, np.uint32)
+    every = np.repeat(own.astype(np.int64), counts_of(counts, len(own)))
+    nth = np.arange(len(every)) - np.searchsorted(every, every)
+    return mixed(every.astype(U64) * MIX1 + nth.astype(U64) + U64(xxhash.xxh3_64_intdigest(src.encode())))
+
+
+def prefix_pairs(feats: DataFrame, some: DataFrame, least: float = LEAST_SIMILARITY, cell: int = CELL) -> DataFrame:
+    """All pairs among the fingerprints ``some`` of one table that can reach the similarity: those that share a word of their prefixes
+    and whose sizes allow it.  Exact, for bags that no band can tell apart.
+
+    Rarity is counted in 2**BUCKET_BITS buckets of words, over the bags in question."""
+    t = least / (2 - least)
+    size = 1 << BUCKET_BITS
+    bags = written(feats.select("src", "fp", "n", "words", "counts").join(some, "fp", "left_semi").groupBy("fp").agg(*(F.first(c).alias(c) for c in ("src", "words", "counts", "n"))), "crowded")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, SAMPLES) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= least))
+            for row in zip(*arrow_columns(batch, "words", "counts", "src")):
+                total += np.bincount((elements(*row) >> U64(64 - BUCKET_BITS)).astype(np.int64), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["bucket", "n"])
+
+    got = bags.select("words", "counts", "src").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(size, np.int64)
+    often[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    shared = feats.sparkSession.sparkContext.broadcast(often)
 
-    both = pairs.join(one.select(F.col("fp").alias("a"), F.col("sample").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("sample").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint")
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            fp, word, sizes = [], [], []
+            for words, counts, src, own, n in zip(*arrow_columns(batch, "words", "counts", "src", "fp", "n")):
+                e = elements(words, counts, src)
+                keep = e[np.lexsort((e, often[(e >> U64(64 - BUCKET_BITS)).astype(np.int64)]))][: n - math.ceil(t * n - 1e-9) + 1]
+                fp += [own] * len(keep)
+                word += keep.view(np.int64).tolist()
+                sizes += [n] * len(keep)
+            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(word, pa.int64()), pa.array(sizes, pa.int32())], ["fp", "word", "n"])
+
+    rows = written(bags.mapInArrow(explode, "fp bigint, word bigint, n int"), "prefixes")
+    cells = rows.groupBy("word").agg(F.count("*").alias("m")).filter("m > 1").select("word", F.ceil(F.col("m") / cell).cast("int").alias("cells"))
+    rows = rows.join(cells, "word").withColumn("own", F.pmod(F.xxhash64("fp"), "cells").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    left = rows.select("word", F.col("own").alias("i"), every.alias("j"), F.col("fp").alias("a"), F.col("n").alias("na"))
+    right = rows.select("word", every.alias("i"), F.col("own").alias("j"), F.col("fp").alias("b"), F.col("n").alias("nb"))
+    alike = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(t - 1e-9))
+    return left.join(right, ["word", "i", "j"]).filter(alike).select("a", "b").distinct()
 
 
 def similar_bags(feats: DataFrame, least: float = LEAST_SIMILARITY, hot: int = HOT) -> DataFrame:
     """(a, b, sim): all pairs of different fingerprints at least so similar."""
-    pairs, crowded = band_pairs(feats, hot)
-    candidates = estimated(pairs, feats)
+    candidates, crowded = band_pairs(feats, hot)
     if not crowded.isEmpty():
-        candidates = candidates.unionByName(prefix_pairs(feats, crowded, least)).distinct()
-    return verified(written(candidates, "candidates"), feats, least)
+        candidates = written(candidates.unionByName(prefix_pairs(feats, crowded, least)).distinct(), "candidates")
+    return verified(candidates, feats, least)
 
 
 def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
@@ -209,15 +253,8 @@ def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
     found = similar_bags(feats).select("a", "b")
     members = feats.select("src", "id", "fp").distinct()
     copies = members.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b"))
-    left = members.select("src", F.col("id").alias("x"), F.col("fp").alias("a"))
-    right = members.select(F.col("id").alias("y"), F.col("fp").alias("b"))
-    return (
-        found.unionByName(copies)
-        .join(left, "a")
-        .join(right, "b")
-        .filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-        .select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    )
+    rows = expanded(found.unionByName(copies), members.select("fp", "src", F.col("id").alias("x")), members.select("fp", F.col("id").alias("y")))
+    return rows.filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select("src", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import conversation_rows, dice, n_words, text, vocabulary
 
@@ -41,22 +42,28 @@ def test_near_duplicates_are_those_of_brute_force(df, rows):
     assert set(got) <= want and len(want - set(got)) <= 1
 
 
-def test_hot_bands_take_the_exact_way(df):
+def test_hot_bands_take_the_exact_way(df, rows):
     feats = written(near_duplicates.features(df), "t")
-    plain = {tuple(r) for r in near_duplicates.similar_bags(feats).select("a", "b").collect()}
+    of = {r.fp: (r.src, r.id) for r in feats.select("fp", "src", "id").collect()}
+    texts = {(r[0], r[1]): r[4] for r in rows}
+    want = {(min(x, y), max(x, y)) for x in of for y in of if x != y and of[x][0] == of[y][0] and dice(texts[of[x]], texts[of[y]]) >= 0.8}
+    # every record shares some band here, as all bands of two are crowded
+    pairs, crowded = near_duplicates.band_pairs(feats, hot=1)
+    assert pairs.isEmpty()
     hot = {tuple(r) for r in near_duplicates.similar_bags(feats, hot=1).select("a", "b").collect()}
-    assert plain <= hot
+    plain = {tuple(r) for r in near_duplicates.similar_bags(feats).select("a", "b").collect()}
+    assert hot == plain == want
 
 
-def test_prefix_filter_is_exact(df, rows):
+@pytest.mark.parametrize("cell", [2000, 2])
+def test_prefix_filter_is_exact(df, rows, cell):
     feats = written(near_duplicates.features(df), "t")
-    found = bags.verified(near_duplicates.prefix_pairs(feats, feats.select("fp").distinct()), feats, 0.8)
+    found = bags.verified(near_duplicates.prefix_pairs(feats, feats.select("fp").distinct(), cell=cell), feats, 0.8)
     of = {r.fp: (r.src, r.id) for r in feats.select("fp", "src", "id").collect()}
     texts = {(r[0], r[1]): r[4] for r in rows}
     got = {(min(of[r.a], of[r.b]), max(of[r.a], of[r.b])) for r in found.collect()}
     keys = sorted(set(of.values()))
-    # bags of different tables differ by their fingerprint and are compared too
-    want = {(x, y) for i, y in enumerate(keys) for x in keys[:i] if dice(texts[x], texts[y]) >= 0.8}
+    want = {(x, y) for i, y in enumerate(keys) for x in keys[:i] if x[0] == y[0] and dice(texts[x], texts[y]) >= 0.8}
     assert got == want
 
 
@@ -221,3 +228,24 @@ def test_components_are_those_of_a_search(spark):
     got = near_duplicates.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     least = {r.fp: r.least for r in got}
     assert len(got) == len(least) and {v: least.get(v, v) for v in want} == want
+
+
+def test_pairs_in_order_are_those_of_every_band():
+    rng = random.Random(21)
+    rows = sorted({(rng.randint(1, 60), rng.randint(1, 400)) for _ in range(700)} | {(30, k) for k in range(90)} | {(61, 1), (61, 2)})
+    for width in (1, 7, 64, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows[i : i + width]], pa.int64()), pa.array([f for _, f in rows[i : i + width]], pa.int64())], ["band", "fp"]) for i in range(0, len(rows), width)]
+        got = [tuple(r.values()) for b in near_duplicates.pairs_in_order(20)(iter(batches)) for r in b.to_pylist()]
+        of = {}
+        for b, f in rows:
+            of.setdefault(b, []).append(f)
+        want = [(x, y) for own in of.values() if len(own) <= 20 for i, x in enumerate(own) for y in own[i + 1 :]] + [(x, None) for own in of.values() if len(own) > 20 for x in own]
+        assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_expansion_in_cells_loses_nothing(spark):
+    left = spark.createDataFrame([(f, k) for f in (1, 2) for k in range(9 * f)], "fp bigint, x bigint")
+    right = spark.createDataFrame([(f, 100 + k) for f in (1, 3) for k in range(7)], "fp bigint, y bigint")
+    pairs = spark.createDataFrame([(1, 1, "s"), (2, 3, "t"), (2, 9, "u")], "a bigint, b bigint, kind string")
+    rows = [sorted(map(str, bags.expanded(pairs, left, right, cell).select("a", "b", "kind", "x", "y").collect())) for cell in (1000, 2)]
+    assert rows[0] == rows[1] and len(rows[0]) == 9 * 7 + 18 * 7
