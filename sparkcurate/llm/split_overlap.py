@@ -1,23 +1,20 @@
 """Records that stand, exactly or almost, on both sides of the train split (problem 3).
 
-The text of the evaluation splits is held in full-text indexes (Burrows-Wheeler order of whole words, with backward
-search), and the training text streams through them; matches are counted for each pair of records, and pairs of records
-with a match are verified on their whole bags of words.  Spans are matches of windows: not merged, and of WINDOW words at most.
-
-The index is cut into shards by content, not by document: every record gives ANCHORS runs of five words, drawn
-consistently with weights by rarity, ln(1 + bags / bags with the run's bucket), so two similar records draw mostly the
-same ones; copies count once, and the logarithm keeps what a large group shares in the draw beside a member's own edits.
-Each anchor comes with the words that stand before it, WINDOW words in all.  A shard is a set of keys, the last SPAN words
-of a window, which are the anchor itself; it holds the evaluation windows with its keys, and only training windows with a key in the shard stream
-through it; streaming all training text through every shard would be quadratic.  Keys that occur on one side only are
-dropped before windows are shuffled, first by a bit table of 2**FILTER_BITS bits (8 MB whatever the data's size; it lets
-more through when it fills up), then by the join; a key of very many records is cut into blocks of BLOCK x BLOCK windows,
-so no task gets an unbounded group and none is dropped.
-
-A match of at least SPAN words makes a candidate, if the bags can reach the similarity by the sizes of SKETCH parts of
-their words: the sum of the smaller sizes is at least the number of shared words, so no pair is lost there, and matches of
-phrases that many records share end in the search.  Two records share about ANCHORS x s of their anchors, s being the
-share of their runs of five words that both have; records without five equal words in a row are no candidates.
+The texts of the evaluation splits are held in compressed full-text indexes, one a shard of at most about SHARD_WORDS words: the Burrows-Wheeler order
+of whole words, compressed, from which the tables of the search are made again where it is loaded.  All training text streams through every
+shard.  Backward search gives for each place of a training record the evaluation places where its GRAM words up to there stand; the places are
+looked up in order of their number of matches, the rarest first, up to a share of SEARCHED of a record's places.  Evaluation records found so are
+candidates; they are verified on the whole bags of words, which the index holds as well, and matches with a verified record are merged into spans:
+longest stretches of the training record of which all runs of GRAM words stand in the other one.
+
+What is found is exact: every pair at least 0.8 alike of which more than 1 - SEARCHED of the training record's places stand in the other
+record too.  A replaced word takes GRAM places, so all pairs whose differences are replaced words are found, however these are spread
+(at 0.8 a fifth of the words, which leaves two fifths of the places); so are pairs with a word inserted after every three words.  Skipping
+the most frequent places keeps boilerplate from being expanded; nothing else is skipped.
+
+The work is training words times shards.  Held-out material is small beside training text, so shards are few; training text is neither
+shuffled nor sent, the index of one shard at a time goes to all workers, and its size is bounded by SHARD_WORDS, beside a single record that is
+longer.
 
 Nulls and blanks count as no words; records under 20 words are in no pair; rows delivered twice count once; a record
 without a split is not in train; extra columns are ignored; empty tables give no rows.
@@ -25,7 +22,9 @@ without a split is not in train; extra columns are ignored; empty tables give no
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +32,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurate.llm.bags import MIX2, U64, arrow_columns, bags_of, blocks, counts_of, mixed, runs, shingle_counts, verified, words_of
+from sparkcurate.llm.bags import U64, arrow_columns, bags_of, blocks, expanded, words_of
 from sparkcurate.llm.shared import written
 
-SHINGLE, BUCKET_BITS, ANCHORS, WINDOW = 5, 16, 18, 12
-SPAN, SKETCH = SHINGLE, 128
-BLOCK, CHUNK, FILTER_BITS = 500, 40_000, 26
+GRAM, SEARCHED, SKETCH = 3, 0.77, 128
+SHARD_WORDS = 1 << 22
+#: So many matches are looked at at once.
+SLICE = 1 << 21
 LEAST_WORDS, LEAST_SIMILARITY = 20, 0.8
 
-SCHEMA = "src string, id bigint, train boolean, fp bigint, words binary, counts binary, sketch binary, keys array<bigint>, windows binary"
+SCHEMA = "src string, id bigint, train boolean, fp bigint, n int, words binary"
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """Side, fingerprint, bag and anchors with their windows of every record with enough words; texts: src, id, split, text."""
-    seen, total = shingle_counts(texts, SHINGLE, BUCKET_BITS, LEAST_WORDS)
-    shared = texts.sparkSession.sparkContext.broadcast(np.log(1 + total / np.maximum(seen, 1)).astype(np.float32))
+    """Side, fingerprint of the bag and words in order (32 bits each, other ones in every table) of every record with enough words;
+    texts: src, id, split, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = shared.value
         for batch in batches:
             srcs, keys, train, texts = arrow_columns(batch, "src", "id", "train", "text")
             for i, j in blocks(texts):
@@ -60,45 +58,26 @@ def features(texts: DataFrame) -> DataFrame:
                 if not len(keep):
                     continue
                 bags = bags_of(ids, at, srcs[i:j])
-                h, owner = runs(ids, at, SHINGLE)
-                place = np.arange(len(h)) + owner_shift(owner, n)
-                u = ((mixed(h * MIX2) >> U64(11)).astype(np.float64) + 0.5) / (1 << 53)
-                score = -np.log(u) / weight[(h >> U64(7) & U64((1 << BUCKET_BITS) - 1)).astype(np.intp)]
-                order = np.lexsort((h, score, owner))
-                fresh = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
-                order = order[fresh]
-                first = np.searchsorted(owner[order], np.arange(j - i + 1))
-                short = (ids % U64(65535)).astype(np.uint16) + np.uint16(1)
-                chosen, windows = [], []
-                for k in keep:
-                    own_src = srcs[i + k].encode()
-                    ends = place[order[first[k] : first[k + 1]][:ANCHORS]] + SHINGLE
-                    own = np.zeros((len(ends), WINDOW), np.uint16)
-                    at_word = ends[:, None] - WINDOW + np.arange(WINDOW)
-                    np.copyto(own, short[np.maximum(at_word, 0)], where=at_word >= at[k])
-                    chosen.append([xxhash.xxh3_64_intdigest(own_src + ids[e - SPAN : e].tobytes()) - (1 << 63) for e in ends])
-                    windows.append(own.tobytes())
+                words = [((ids[at[k] : at[k + 1]] ^ U64(xxhash.xxh3_64_intdigest(srcs[i + k].encode()))) >> U64(32)).astype(np.uint32).tobytes() for k in keep]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([srcs[i + k] for k in keep], pa.string()),
                         pa.array([keys[i + k] for k in keep], pa.int64()),
                         pa.array([train[i + k] for k in keep], pa.bool_()),
-                        *(pa.array([bags[k][c] for k in keep], t) for c, t in ((0, pa.int64()), (1, pa.binary()), (2, pa.binary()))),
-                        pa.array([sketch(*bags[k][1:]) for k in keep], pa.binary()),
-                        pa.array(chosen, pa.list_(pa.int64())),
-                        pa.array(windows, pa.binary()),
+                        pa.array([bags[k][0] for k in keep], pa.int64()),
+                        pa.array(n[keep].astype(np.int32)),
+                        pa.array(words, pa.binary()),
                     ],
-                    names=["src", "id", "train", "fp", "words", "counts", "sketch", "keys", "windows"],
+                    names=["src", "id", "train", "fp", "n", "words"],
                 )
 
     side = F.coalesce(F.col("split") == "train", F.lit(False)).alias("train")
     return texts.select("src", "id", side, "text").mapInArrow(run, SCHEMA)
 
 
-def sketch(words: bytes, counts: bytes) -> bytes:
-    """How many words of a bag fall in each of SKETCH parts of all words; a part of 255 holds this many or more."""
-    w = np.frombuffer(words, np.uint32)
-    return np.minimum(np.bincount(w % SKETCH, counts_of(counts, len(w)), SKETCH), 255).astype(np.uint8).tobytes()
+def sketches(word: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """How many words of each of n texts fall in each of SKETCH parts of all words; a part of 255 holds this many or more."""
+    return np.minimum(np.bincount(owner * SKETCH + word % SKETCH, minlength=n * SKETCH), 255).astype(np.uint8).reshape(n, SKETCH)
 
 
 def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -107,162 +86,222 @@ def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (2 * shared >= (LEAST_SIMILARITY - 1e-9) * total) | (np.maximum(x, y) == 255).any(axis=1)
 
 
-def owner_shift(owner: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """What to add to the index of a run to get the index of its first word: each earlier text gave fewer runs than words."""
-    lost = np.cumsum(np.concatenate([[0], np.minimum(n, SHINGLE - 1)]))
-    return lost[owner]
-
-
-class WordIndex:
-    """Full-text index of windows of word numbers: rows of the sorted suffixes, found by backward search.
-
-    ``rows`` holds (preceding word, row) in order, so the place of (word, row) in it is the row to which the word in
-    front of a row's suffix leads: one search gives both the word's first row and its rank.
-    """
-
-    def __init__(self, windows: list[np.ndarray]) -> None:
-        lengths = np.array([len(w) for w in windows])
-        words = np.concatenate(windows)
-        self.words, number = np.unique(words, return_inverse=True)
-        m = len(windows)
+# -- the index ---------------------------------------------------------------------------------------------------------------------------
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """The beginnings of all suffixes in their order, by doubling; every text ends in a mark of its own, so all suffixes differ."""
+    n = len(text)
+    rank, width = np.unique(text, return_inverse=True)[1], 1
+    while True:
+        after = np.concatenate([rank[width:] + 1, np.zeros(min(width, n), np.int64)])[:n]
+        key = rank * (n + 1) + after
+        order = np.argsort(key, kind="stable")
+        step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
+        rank = np.empty(n, np.int64)
+        rank[order] = step
+        if step[-1] == n - 1:
+            return order
+        width *= 2
+
+
+def packed_index(names: list[int], texts: list[np.ndarray]) -> bytes:
+    """The compressed index of texts (words as numbers of 32 bits): their words, names and lengths, and the word before each suffix in order."""
+    m, lengths = len(texts), np.array([len(t) for t in texts], np.int64)
+    words, number = np.unique(np.concatenate(texts), return_inverse=True)
+    end = np.cumsum(lengths + 1) - 1
+    text = np.empty(int(lengths.sum()) + m, np.int64)
+    inside = np.ones(len(text), bool)
+    inside[end] = False
+    text[end], text[inside] = np.arange(m), number + m
+    before = text[suffix_order(text) - 1].astype(np.int32)
+    out = io.BytesIO()
+    np.savez_compressed(out, words=words, names=np.array(names, np.int64), lengths=lengths, before=before)
+    return out.getvalue()
+
+
+class TextIndex:
+    """What the search needs, made from the packed index: ``keys`` holds (word, row) of the word before each row's suffix, in order, so the place of (word,
+    row) in it is the row to which the word in front leads (one lookup gives the word's first row and its rank); texts are read back by
+    walking from the marks, all of them at once."""
+
+    def __init__(self, raw: bytes) -> None:
+        with np.load(io.BytesIO(raw)) as packed:
+            self.words, self.names, lengths, before = (packed[c] for c in ("words", "names", "lengths", "before"))
+        self.m, self.n = len(self.names), len(before)
+        order = np.argsort(before, kind="stable")
+        self.keys = before[order].astype(np.int64) * self.n + order
+        leads = np.empty(self.n, np.int64)
+        leads[order] = np.arange(self.n)
         end = np.cumsum(lengths + 1) - 1
-        text = np.empty(len(words) + m, np.int64)
-        inside = np.ones(len(text), bool)
-        inside[end] = False
-        text[end] = np.arange(m)  # every window ends in a mark of its own, so all suffixes differ
-        text[inside] = number + m
-        self.text, self.marks, n = text, m, len(text)
-        rank, width = np.unique(text, return_inverse=True)[1], 1
-        while True:
-            after = np.concatenate([rank[width:] + 1, np.zeros(min(width, n), np.int64)])[:n]
-            key = rank * (n + 1) + after
-            order = np.argsort(key, kind="stable")
-            step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-            rank = np.empty(n, np.int64)
-            rank[order] = step
-            if step[-1] == n - 1:
-                break
-            width *= 2
-        self.suffixes = order
-        self.n = n
-        self.rows = np.sort(text[order - 1] * n + np.arange(n))
-        self.window = np.searchsorted(end, np.arange(n))
+        self.begin = end - lengths
+        self.owner = np.empty(self.n, np.int32)  # the text of each row
+        at, which, place = np.arange(self.m), np.arange(self.m), end.copy()
+        self.text = np.full(self.n, -1, np.int32)
+        while len(at):
+            self.owner[at] = which
+            word = before[at]
+            on = word >= self.m
+            at, which, place = at[on], which[on], place[on] - 1
+            self.text[place] = word[on]
+            at = leads[at]
+        spoken = self.text >= 0
+        of = np.repeat(np.arange(self.m), lengths)
+        key, self.count = np.unique(of * np.int64(self.n + 1) + self.text[spoken], return_counts=True)
+        self.bag_word, self.bag = key % (self.n + 1), np.searchsorted(key, np.arange(self.m + 1) * np.int64(self.n + 1))
+        self.sizes = lengths
+        self.sketch = sketches(self.words[self.text[spoken] - self.m].astype(np.int64), of, self.m)
 
     def numbers(self, words: np.ndarray) -> np.ndarray:
         """Word numbers as in the index, -1 for words that are not in it."""
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, at + self.marks, -1)
-
-    def matches(self, queries: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, window, words): for every place where the last ``depth`` words of a query stand (all of a shorter one),
-        the number of its words up to the end that match there."""
-        lengths = np.array([len(q) for q in queries])
-        width = int(lengths.max())
-        pattern = np.full((len(queries), width), -1, np.int64)
-        pattern[np.arange(width)[None, :] >= width - lengths[:, None]] = self.numbers(np.concatenate(queries))
-        low, high = np.zeros(len(queries), np.int64), np.full(len(queries), self.n, np.int64)
-        for k in range(1, min(depth, width) + 1):
-            word = pattern[:, width - k]
-            on = lengths >= k
-            lo, hi = (np.searchsorted(self.rows, word * self.n + x) for x in (low, high))
-            miss = word < 0
-            low, high = np.where(on, np.where(miss, 0, lo), low), np.where(on, np.where(miss, 0, hi), high)
-        count = high - low
-        query = np.repeat(np.arange(len(queries)), count)
-        row = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + low[query]
-        place = self.suffixes[row]
-        matched = np.minimum(lengths, depth)[query]
-        longer = np.ones(len(query), bool)
-        for _ in range(width - min(depth, width)):
-            column = width - matched - 1
-            before = place - 1
-            longer &= (column >= 0) & (before >= 0)
-            longer &= (pattern[query, np.maximum(column, 0)] == self.text[np.maximum(before, 0)]) & (pattern[query, np.maximum(column, 0)] >= 0)
-            matched, place = matched + longer, place - longer
-        return query, self.window[place], matched
-
-
-def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, train, fp, window, sketch) in order of block: the matches of train windows within the evaluation windows of as many whole
-    blocks at a time as make an index of bounded size.  A match across blocks is a true match of the texts as well, if not always of one table."""
-
-    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        train = rows.column("train").to_numpy()
-        fp = rows.column("fp").to_numpy()
-        windows = [w[w > 0] for w in np.frombuffer(b"".join(rows.column("window").to_pylist()), np.uint16).reshape(-1, WINDOW)]
-        sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        held, asked = np.flatnonzero(~train), np.flatnonzero(train)
-        if not len(held) or not len(asked):
-            return
-        index = WordIndex([windows[k] for k in held])
-        for i in range(0, len(asked), 4096):
-            part = asked[i : i + 4096]
-            query, window, words = index.matches([windows[k] for k in part], SPAN)
-            a, b = part[query], held[window]
-            for k in range(0, len(a), 1 << 16):
-                own = slice(k, k + (1 << 16))
-                keep = np.flatnonzero(may_be_similar(sketches[a[own]], sketches[b[own]])) + k
-                yield pa.RecordBatch.from_arrays([pa.array(fp[a[keep]]), pa.array(fp[b[keep]]), pa.array(words[keep].astype(np.int64))], ["a", "b", "words"])
-
-    rest: pa.Table | None = None
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        rest = rows if rest is None else pa.concat_tables([rest, rows])
-        if rest.num_rows >= CHUNK:
-            block = rest.column("block").to_numpy()
-            others = np.flatnonzero(block != block[-1])
-            cut = int(others[-1]) + 1 if len(others) else 0
-            if cut:
-                yield from found(rest.slice(0, cut))
-                rest = rest.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield from found(rest)
-
-
-def bit_table(keys: DataFrame) -> np.ndarray:
-    """A table of 2**FILTER_BITS bits, as words of 64, with the bit of every key set; at most 2**FILTER_BITS / 64 rows are collected."""
-    place = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = keys.select(F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(key & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros((1 << FILTER_BITS) >> 6, np.int64)
-    table[bits.column("word").to_numpy()] = bits.column("bits").to_numpy()
-    return table.view(U64)
-
-
-def routed_windows(feats: DataFrame, table: np.ndarray) -> DataFrame:
-    """(key, window, fp, train, sketch) of all anchors whose key may be on both sides."""
-    shared = feats.sparkSession.sparkContext.broadcast(table)
+        return np.where(self.words[at] == words, at + self.m, -1)
+
+    def rows(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(low, high): the rows of the suffixes that begin with these words; backward search, the last word first; a word a column."""
+        low, high = np.zeros(len(grams[0]), np.int64), np.full(len(grams[0]), self.n, np.int64)
+        alive = np.flatnonzero(reduce(np.logical_and, (g >= 0 for g in grams)))
+        for g in reversed(grams):
+            word = g[alive] * np.int64(self.n)
+            lo, hi = np.searchsorted(self.keys, word + low[alive]), np.searchsorted(self.keys, word + high[alive])
+            low[alive], high[alive] = lo, hi
+            alive = alive[hi > lo]
+        none = np.ones(len(low), bool)
+        none[alive] = False
+        low[none] = high[none] = 0
+        return low, high
+
+    def candidates(self, number: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, text), each pair once: the texts that hold one of the rarest places of a query; number and owner: the queries' words in order."""
+        size = max(0, len(number) - GRAM + 1)
+        whole = np.flatnonzero(owner[:size] == owner[GRAM - 1 :])
+        low, high = self.rows([number[whole + k] for k in range(GRAM)])
+        of, found = owner[whole], high - low
+        order = np.lexsort((found, of))
+        first = np.searchsorted(of[order], np.arange(n + 1))
+        nth = np.arange(len(order)) - np.repeat(first[:-1], np.diff(first))
+        most = np.ceil(SEARCHED * np.diff(first)) + 1
+        take = order[(nth < most[of[order]]) & (found[order] > 0)]
+        # a place that a query has several times is looked up once
+        of, low, found = (np.array(x) for x in (of[take], low[take], found[take]))
+        again = np.lexsort((low, of))
+        of, low, found = of[again], low[again], found[again]
+        fresh = np.ones(len(of), bool)
+        fresh[1:] = (of[1:] != of[:-1]) | (low[1:] != low[:-1])
+        of, low, found = of[fresh], low[fresh], found[fresh]
+        pairs, i, upto = [], 0, np.cumsum(found)
+        while i < len(of):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, "right")))
+            c = found[i:j]
+            row = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[i:j], c)
+            pairs.append(np.unique(np.repeat(of[i:j], c) * np.int64(self.m) + self.owner[row]))
+            i = j
+        both = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        return both // self.m, both % self.m
+
+    def similarity(self, number: np.ndarray, text: int) -> float:
+        own = slice(self.bag[text], self.bag[text + 1])
+        word, count = np.unique(number, return_counts=True)
+        at = np.minimum(np.searchsorted(self.bag_word[own], word), own.stop - own.start - 1)
+        hit = self.bag_word[own][at] == word
+        return 2 * int(np.minimum(count[hit], self.count[own][at[hit]]).sum()) / (len(number) + int(self.sizes[text]))
+
+    def spans(self, number: np.ndarray, text: int) -> tuple[int, int]:
+        """(spans, words in them) of the query's stretches of which all runs of GRAM words stand in the text."""
+        own = self.text[self.begin[text] : self.begin[text] + self.sizes[text]].astype(np.int64)
+        grams = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, GRAM) for x in (number, own)])
+        code = np.zeros(len(grams), np.int64)
+        for column in grams.T:
+            code = np.unique(code * (self.n + self.m + 2) + column + 1, return_inverse=True)[1]
+        places = len(number) - GRAM + 1
+        held = np.isin(code[:places], code[places:]) & (grams[:places] >= 0).all(axis=1)
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], held, [False]]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2] + GRAM - 1
+        # spans that overlap are one
+        new = np.concatenate([[True], begin[1:] >= end[:-1]]) if len(begin) else np.empty(0, bool)
+        covered = np.zeros(len(number) + 1, np.int64)
+        np.add.at(covered, begin, 1)
+        np.add.at(covered, end, -1)
+        return int(new.sum()), int((np.cumsum(covered)[:-1] > 0).sum())
+
+
+def indexes(held: DataFrame, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """(shard, index) of all evaluation records, one a fingerprint, and the number of shards; a shard is built by one task."""
+    words = held.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    shards = max(1, -(-words // shard_words))
+    rows = held.select(F.pmod(F.xxhash64("fp"), F.lit(shards)).cast("int").alias("shard"), "fp", "words")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, names, texts = None, [], []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([packed_index(names, texts)], pa.binary())], ["shard", "index"])
+
+        for batch in batches:
+            for s, fp, raw in zip(*arrow_columns(batch, "shard", "fp", "words")):
+                if s != shard:
+                    yield from done()
+                    shard, names, texts = s, [], []
+                names.append(fp)
+                texts.append(np.frombuffer(raw, np.uint32))
+        yield from done()
+
+    return written(rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, index binary"), "index"), shards
+
+
+#: The index a worker has loaded last, by a name.
+LOADED: dict[str, TextIndex] = {}
+
+
+def searched(train: DataFrame, index: bytes) -> DataFrame:
+    """(a, b, spans, span_words): fingerprints of training records and evaluation records of one shard at least LEAST_SIMILARITY alike, but not of the
+    same words."""
+    shared = train.sparkSession.sparkContext.broadcast(index)
+    name = xxhash.xxh3_128_hexdigest(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+        if name not in LOADED:
+            LOADED.clear()
+            LOADED[name] = TextIndex(shared.value)
+        own = LOADED[name]
         for batch in batches:
-            keys, fp, train, windows, sketches = (batch.column(batch.schema.get_field_index(c)) for c in ("keys", "fp", "train", "windows", "sketch"))
-            key = keys.flatten().to_numpy().view(U64)
-            keep = np.flatnonzero(bits[((key & U64((1 << FILTER_BITS) - 1)) >> U64(6)).astype(np.intp)] >> (key & U64(63)) & U64(1))
-            owner = pa.array(np.repeat(np.arange(batch.num_rows), keys.value_lengths().to_numpy())[keep])
-            raw = np.frombuffer(b"".join(windows.to_pylist()), np.uint16).reshape(-1, WINDOW)
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array([w.tobytes() for w in raw[keep]], pa.binary()), fp.take(owner), train.take(owner), sketches.take(owner)], ["key", "window", "fp", "train", "sketch"])
-
-    return feats.select("keys", "fp", "train", "windows", "sketch").mapInArrow(run, "key bigint, window binary, fp bigint, train boolean, sketch binary")
-
-
-def matching_bags(feats: DataFrame) -> DataFrame:
-    """(a, b, spans, span_words): fingerprints of train and of another split with a common passage, how many matches of windows
-    and words in them; the same passage counts once for every anchor in it."""
-    keys = feats.groupBy("fp", "train").agg(F.first("keys").alias("keys")).select("train", F.explode("keys").alias("key"))
-    count = written(keys.groupBy("key").agg(F.count_if("train").alias("n_train"), F.count_if(~F.col("train")).alias("n_held")).filter("n_train > 0 and n_held > 0"), "keys")
-    rows = routed_windows(feats, bit_table(count)).distinct()
-    cells = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    own = lambda c: F.pmod(F.xxhash64("fp"), cells(c)).cast("int")
-    every = lambda c: F.sequence(F.lit(0), cells(c) - 1)
-    routed = (
-        rows.join(count, "key")
-        .withColumn("i", F.explode(F.when(F.col("train"), F.array(own("n_train"))).otherwise(every("n_train"))))
-        .withColumn("j", F.explode(F.when(F.col("train"), every("n_held")).otherwise(F.array(own("n_held")))))
-        .select(F.xxhash64("key", "i", "j").alias("block"), "train", "fp", "window", "sketch")
-    )
-    partitions = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = routed.repartition(partitions, "block").sortWithinPartitions("block").mapInArrow(search, "a bigint, b bigint, words bigint")
-    return found.groupBy("a", "b").agg(F.count("*").alias("spans"), F.sum("words").alias("span_words"))
+            fps, raw = arrow_columns(batch, "fp", "words")
+            texts = [np.frombuffer(x, np.uint32) for x in raw]
+            found = []
+            for i, j in blocks(raw):
+                lengths = np.array([len(t) for t in texts[i:j]])
+                owner, words = np.repeat(np.arange(j - i), lengths), np.concatenate(texts[i:j])
+                number = own.numbers(words)
+                query, text = own.candidates(number, owner, j - i)
+                at = np.cumsum(lengths) - lengths
+                of_query = sketches(words.astype(np.int64), owner, j - i)
+                for k in range(0, len(query), 1 << 14):
+                    q, t = query[k : k + (1 << 14)], text[k : k + (1 << 14)]
+                    maybe = np.flatnonzero(may_be_similar(of_query[q], own.sketch[t]))
+                    for q, t in zip(q[maybe].tolist(), t[maybe].tolist()):
+                        numbers = number[at[q] : at[q] + lengths[q]]
+                        if own.names[t] != fps[i + q] and own.similarity(numbers, t) >= LEAST_SIMILARITY - 1e-12:
+                            found.append((fps[i + q], int(own.names[t]), *own.spans(numbers, t)))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], ["a", "b", "spans", "span_words"])
+
+    return train.select("fp", "words").mapInArrow(run, "a bigint, b bigint, spans bigint, span_words bigint")
+
+
+def matches(feats: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """(a, b, spans, span_words) over all shards, one after the other; training records of the same words in another order count with their longest spans."""
+    held = feats.filter("not train").groupBy("fp").agg(F.first("n").alias("n"), F.first("words").alias("words"))
+    index, shards = indexes(held, shard_words)
+    train = feats.filter("train")
+    out = []
+    for shard in range(shards):
+        # one shard at a time: bounded by shard_words, whatever the data's size
+        row = index.filter(F.col("shard") == shard).select("index").head()
+        if row:
+            out.append(written(searched(train, bytes(row[0])), "matches"))
+    if not out:
+        return feats.sparkSession.createDataFrame([], "a bigint, b bigint, spans bigint, span_words bigint")
+    return reduce(DataFrame.unionByName, out).groupBy("a", "b").agg(F.max("spans").alias("spans"), F.max("span_words").alias("span_words"))
 
 
 def overlaps(texts: DataFrame) -> DataFrame:
@@ -270,14 +309,13 @@ def overlaps(texts: DataFrame) -> DataFrame:
 
     Spans and words are null for pairs with the same words."""
     feats = written(features(texts), "features")
-    matches = written(matching_bags(feats).filter("a <> b"), "matches")
-    found = verified(matches.select("a", "b"), feats, LEAST_SIMILARITY).join(matches, ["a", "b"]).select("a", "b", "spans", "span_words")
+    found = matches(feats)
     members = feats.select("src", "id", "fp", "train").distinct()
     same = members.groupBy("fp").agg(F.bool_or("train").alias("t"), F.bool_and("train").alias("all")).filter("t and not all")
     same = same.select(F.col("fp").alias("a"), F.col("fp").alias("b"), F.lit(None).cast("bigint").alias("spans"), F.lit(None).cast("bigint").alias("span_words"))
-    left = members.filter("train").select("src", F.col("id").alias("train_id"), F.col("fp").alias("a"))
-    right = members.filter("not train").select(F.col("src").alias("other_src"), F.col("id").alias("other_id"), F.col("fp").alias("b"))
-    return found.unionByName(same).join(left, "a").join(right, "b").filter("src = other_src").select("src", "train_id", "other_id", "spans", "span_words")
+    left = members.filter("train").select("fp", "src", F.col("id").alias("train_id"))
+    right = members.filter("not train").select("fp", F.col("id").alias("other_id"))
+    return expanded(found.unionByName(same), left, right).select("src", "train_id", "other_id", "spans", "span_words")
 
 
 def overlap_pairs(texts: DataFrame) -> DataFrame:
