@@ -9,8 +9,8 @@ longest stretches of the training record of which all runs of GRAM words stand i
 
 What is found is exact: every pair at least 0.8 alike of which more than 1 - SEARCHED of the training record's places stand in the other
 record too.  A replaced word takes GRAM places, so all pairs whose differences are replaced words are found, however these are spread
-(at 0.8 a fifth of the words, which leaves two fifths of the places); so are pairs with a word inserted after every three words.  Skipping
-the most frequent places keeps boilerplate from being expanded; nothing else is skipped.
+(at 0.8 a fifth of the words, which leaves two fifths of the places); so are pairs with a word inserted after every four words, or in the
+evaluation record after every three.  Skipping the most frequent places keeps boilerplate from being expanded; nothing else is skipped.
 
 The work is training words times shards.  Held-out material is small beside training text, so shards are few; training text is neither
 shuffled nor sent, the index of one shard at a time goes to all workers, and its size is bounded by SHARD_WORDS, beside a single record that is
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sparkcurate.llm.bags import U64, arrow_columns, bags_of, blocks, expanded, words_of
 from sparkcurate.llm.shared import written
 
-GRAM, SEARCHED, SKETCH = 3, 0.77, 128
+GRAM, SEARCHED, SKETCH = 3, 0.7, 128
 SHARD_WORDS = 1 << 22
 #: So many matches are looked at at once.
 SLICE = 1 << 21
@@ -89,26 +89,41 @@ def may_be_similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 # -- the index ---------------------------------------------------------------------------------------------------------------------------
 
 
+def different(x: np.ndarray) -> np.ndarray:
+    """The different values in ascending order."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The beginnings of all suffixes in their order, by doubling; every text ends in a mark of its own, so all suffixes differ."""
+    """The beginnings of all suffixes in their order, by doubling; every text ends in a mark of its own, so all suffixes differ.
+
+    The rank of a suffix is the first place of those it is not yet told apart from; only these are sorted again."""
     n = len(text)
-    rank, width = np.unique(text, return_inverse=True)[1], 1
+    order = np.argsort(text)
+    rank, tied, key, width = np.empty(n, np.int64), np.arange(n), text[order], 0
     while True:
-        after = np.concatenate([rank[width:] + 1, np.zeros(min(width, n), np.int64)])[:n]
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = step
-        if step[-1] == n - 1:
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        begin = np.flatnonzero(new)
+        own = order[tied]
+        rank[own] = np.repeat(tied[begin], np.diff(np.append(begin, len(tied))))
+        tied = tied[~(new & np.append(new[1:], True))]
+        if not len(tied):
             return order
-        width *= 2
+        width = max(1, 2 * width)
+        own = order[tied]
+        after = np.where(own + width < n, rank[np.minimum(own + width, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + after
+        by = np.argsort(key)
+        order[tied], key = own[by], key[by]
 
 
 def packed_index(names: list[int], texts: list[np.ndarray]) -> bytes:
     """The compressed index of texts (words as numbers of 32 bits): their words, names and lengths, and the word before each suffix in order."""
     m, lengths = len(texts), np.array([len(t) for t in texts], np.int64)
-    words, number = np.unique(np.concatenate(texts), return_inverse=True)
+    every = np.concatenate(texts)
+    words = different(every)
+    number = np.searchsorted(words, every)
     end = np.cumsum(lengths + 1) - 1
     text = np.empty(int(lengths.sum()) + m, np.int64)
     inside = np.ones(len(text), bool)
@@ -129,8 +144,9 @@ class TextIndex:
         with np.load(io.BytesIO(raw)) as packed:
             self.words, self.names, lengths, before = (packed[c] for c in ("words", "names", "lengths", "before"))
         self.m, self.n = len(self.names), len(before)
-        order = np.argsort(before, kind="stable")
-        self.keys = before[order].astype(np.int64) * self.n + order
+        self.keys = np.sort(before * np.int64(self.n) + np.arange(self.n))
+        order = self.keys % self.n
+        self.first = np.searchsorted(self.keys, np.arange(self.m + len(self.words) + 1) * np.int64(self.n))
         leads = np.empty(self.n, np.int64)
         leads[order] = np.arange(self.n)
         end = np.cumsum(lengths + 1) - 1
@@ -147,7 +163,9 @@ class TextIndex:
             at = leads[at]
         spoken = self.text >= 0
         of = np.repeat(np.arange(self.m), lengths)
-        key, self.count = np.unique(of * np.int64(self.n + 1) + self.text[spoken], return_counts=True)
+        every = np.sort(of * np.int64(self.n + 1) + self.text[spoken])
+        key = different(every)
+        self.count = np.diff(np.append(np.searchsorted(every, key), len(every)))
         self.bag_word, self.bag = key % (self.n + 1), np.searchsorted(key, np.arange(self.m + 1) * np.int64(self.n + 1))
         self.sizes = lengths
         self.sketch = sketches(self.words[self.text[spoken] - self.m].astype(np.int64), of, self.m)
@@ -159,16 +177,21 @@ class TextIndex:
 
     def rows(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(low, high): the rows of the suffixes that begin with these words; backward search, the last word first; a word a column."""
-        low, high = np.zeros(len(grams[0]), np.int64), np.full(len(grams[0]), self.n, np.int64)
+        low, high = np.zeros(len(grams[0]), np.int64), np.zeros(len(grams[0]), np.int64)
         alive = np.flatnonzero(reduce(np.logical_and, (g >= 0 for g in grams)))
-        for g in reversed(grams):
-            word = g[alive] * np.int64(self.n)
-            lo, hi = np.searchsorted(self.keys, word + low[alive]), np.searchsorted(self.keys, word + high[alive])
-            low[alive], high[alive] = lo, hi
-            alive = alive[hi > lo]
-        none = np.ones(len(low), bool)
-        none[alive] = False
-        low[none] = high[none] = 0
+        lo, hi = self.first[grams[-1][alive]], self.first[grams[-1][alive] + 1]
+        for g in grams[-2::-1]:
+            # lookups in order stay near each other in the table; the same words and rows are looked up once
+            key = np.stack([g[alive] * np.int64(self.n) + x for x in (lo, hi)])
+            order = np.argsort(key[0])
+            key = key[:, order]
+            new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]) if len(order) else np.empty(0, bool)
+            which = np.cumsum(new) - 1
+            lo, hi = (np.searchsorted(self.keys, k)[which] for k in key[:, new])
+            alive = alive[order]
+            some = hi > lo
+            alive, lo, hi = alive[some], lo[some], hi[some]
+        low[alive], high[alive] = lo, hi
         return low, high
 
     def candidates(self, number: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,27 +199,25 @@ class TextIndex:
         size = max(0, len(number) - GRAM + 1)
         whole = np.flatnonzero(owner[:size] == owner[GRAM - 1 :])
         low, high = self.rows([number[whole + k] for k in range(GRAM)])
-        of, found = owner[whole], high - low
-        order = np.lexsort((found, of))
-        first = np.searchsorted(of[order], np.arange(n + 1))
-        nth = np.arange(len(order)) - np.repeat(first[:-1], np.diff(first))
-        most = np.ceil(SEARCHED * np.diff(first)) + 1
-        take = order[(nth < most[of[order]]) & (found[order] > 0)]
-        # a place that a query has several times is looked up once
-        of, low, found = (np.array(x) for x in (of[take], low[take], found[take]))
-        again = np.lexsort((low, of))
-        of, low, found = of[again], low[again], found[again]
+        # places that match nowhere are the rarest; only the others are put in order, places of the same words side by side
+        places, some = np.bincount(owner[whole], minlength=n), np.flatnonzero(high > low)
+        of, low, found = owner[whole][some], low[some], (high - low)[some]
+        by = np.lexsort((low, of * np.int64(self.n + 1) + found))
+        of, low, found = of[by], low[by], found[by]
+        first = np.searchsorted(of, np.arange(n + 1))
+        nth = np.arange(len(of)) - first[of] + (places - np.diff(first))[of]
         fresh = np.ones(len(of), bool)
         fresh[1:] = (of[1:] != of[:-1]) | (low[1:] != low[:-1])
-        of, low, found = of[fresh], low[fresh], found[fresh]
+        take = (nth < (np.ceil(SEARCHED * places) + 1)[of]) & fresh
+        of, low, found = of[take], low[take], found[take]
         pairs, i, upto = [], 0, np.cumsum(found)
         while i < len(of):
             j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + SLICE, "right")))
             c = found[i:j]
             row = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(low[i:j], c)
-            pairs.append(np.unique(np.repeat(of[i:j], c) * np.int64(self.m) + self.owner[row]))
+            pairs.append(different(np.repeat(of[i:j], c) * np.int64(self.m) + self.owner[row]))
             i = j
-        both = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        both = different(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         return both // self.m, both % self.m
 
     def similarity(self, number: np.ndarray, text: int) -> float:
@@ -269,15 +290,18 @@ def searched(train: DataFrame, index: bytes) -> DataFrame:
             fps, raw = arrow_columns(batch, "fp", "words")
             texts = [np.frombuffer(x, np.uint32) for x in raw]
             found = []
-            for i, j in blocks(raw):
+            for i, j in blocks(raw, 1024, 1 << 20):
                 lengths = np.array([len(t) for t in texts[i:j]])
                 owner, words = np.repeat(np.arange(j - i), lengths), np.concatenate(texts[i:j])
                 number = own.numbers(words)
                 query, text = own.candidates(number, owner, j - i)
                 at = np.cumsum(lengths) - lengths
                 of_query = sketches(words.astype(np.int64), owner, j - i)
-                for k in range(0, len(query), 1 << 14):
-                    q, t = query[k : k + (1 << 14)], text[k : k + (1 << 14)]
+                # the shorter of two similar bags has two thirds of the words of the longer one at least
+                close = 3 * np.minimum(lengths[query], own.sizes[text]) >= 2 * np.maximum(lengths[query], own.sizes[text])
+                query, text = query[close], text[close]
+                for k in range(0, len(query), 1 << 12):
+                    q, t = query[k : k + (1 << 12)], text[k : k + (1 << 12)]
                     maybe = np.flatnonzero(may_be_similar(of_query[q], own.sketch[t]))
                     for q, t in zip(q[maybe].tolist(), t[maybe].tolist()):
                         numbers = number[at[q] : at[q] + lengths[q]]
