@@ -186,8 +186,8 @@ def packed(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOC
     rows, _ = plan(histogram, capacity)
     shared = documents.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, 5))
     rank = F.row_number().over(Window.partitionBy("size", "salt").orderBy("doc_id", "part")) - 1 + F.col("before")
-    # at the least number of salts the cells are at most capacity x SALTS rows, which is a bound to broadcast them under
-    ranked = pieces.join(F.broadcast(offsets) if salts == SALTS else offsets, ["size", "salt"]).select("doc_id", "part", "parts", "size", rank.alias("rank"))
+    # join and window have the same keys, so pieces (a few numbers each) are shuffled once
+    ranked = pieces.join(offsets, ["size", "salt"]).select("doc_id", "part", "parts", "size", rank.alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

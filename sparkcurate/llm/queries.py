@@ -68,14 +68,18 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return template_leaks.leaks(documents(spark, d), table(spark, d, "heldout_items")).select("doc_id", "item_id")
+    return template_leaks.leaks(documents(spark, d), table(spark, d, "heldout_items")).filter("same > 0").select("doc_id", "item_id")
 
 
 def p6_reparameterised(spark: SparkSession, d: str) -> DataFrame:
-    return template_leaks.leaks(documents(spark, d), table(spark, d, "heldout_items"), reparameterised=True)
+    return template_leaks.leaks(documents(spark, d), table(spark, d, "heldout_items")).filter("changed > 0")
 
 
 def p6_items(spark: SparkSession, d: str) -> DataFrame:
+    return template_leaks.leaked_items(documents(spark, d), table(spark, d, "heldout_items")).drop("reparameterised")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return template_leaks.leaked_items(documents(spark, d), table(spark, d, "heldout_items"))
 
 
@@ -123,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_reparameterised": p6_reparameterised,
     "p6_items": p6_items,
+    "p6_report": p6_report,
     "p7_found": p7_found,
     "p7_prefixes": p7_prefixes,
     "p7_report": p7_report,

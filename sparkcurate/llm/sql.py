@@ -43,6 +43,21 @@ POOLS = f"""with t as (select 'training_examples_poc' as pool, example_id::varch
     from (select *, {COMMON} as common from sample_targets) x left join size on size.pool = x.pool left join n on n.pool = x.pool and n.common = x.common)"""
 
 
+#: Whole quotas of a plan: one multiple of the target shares within the bounds, found at the last turn of the sum below the size, and largest remainders.
+QUOTAS = f"""{POOLS},
+  bounds as (select plan_id::bigint as plan_id, x.pool, x.common, max(target_pct)::double as t, least(max(coalesce(min_rows, 0)), max(coalesce(available, 0)))::double as lo, max(coalesce(available, 0))::double as hi, max(coalesce(pool_size, 0) * sample_pct // 100) as total
+    from (select *, {COMMON} as common from sample_targets) x left join size on size.pool = x.pool left join n on n.pool = x.pool and n.common = x.common group by 1, 2, 3),
+  capped as (select plan_id, pool, common, t, lo, case when t > 0 then hi else lo end as hi, max(total) over (partition by plan_id, pool) as total from bounds),
+  plans as (select *, greatest(sum(lo) over w, least(sum(hi) over w, total)) as total2 from capped window w as (partition by plan_id, pool)),
+  turns as (select distinct plan_id, pool, unnest([0, lo / t, hi / t]) as x from plans where t > 0),
+  sums as (select turns.plan_id, turns.pool, turns.x, sum(greatest(lo, least(hi, turns.x * t))) as s, any_value(total2) as total2, sum(case when t > 0 and turns.x * t < hi - 1e-9 and turns.x * t >= lo - 1e-9 then t else 0 end) as slope
+    from turns join plans on plans.plan_id = turns.plan_id and plans.pool = turns.pool group by 1, 2, 3),
+  best as (select plan_id, pool, arg_max(x + case when slope > 0 then (total2 - s) / slope else 0 end, x) as x from sums where s <= total2 + 1e-9 group by 1, 2),
+  precise as (select plans.*, greatest(lo, least(hi, x * t)) as exact, floor(greatest(lo, least(hi, x * t)) + 1e-6) as base from plans join best on best.plan_id = plans.plan_id and best.pool = plans.pool),
+  rounded as (select *, row_number() over (partition by plan_id, pool order by case when base < hi then 0 else 1 end, -round(exact - base, 6), common) as nth, total2 - sum(base) over (partition by plan_id, pool) as rest from precise),
+  quotas as (select plan_id, pool, common, (base + case when nth <= rest and base < hi then 1 else 0 end)::bigint as quota from rounded)"""
+
+
 def windows(table: str, key: str, text: str) -> str:
     return f"select distinct {key}, array_to_string(w[i:i + 11], ' ') as g from (select {key}, w, unnest(range(1, len(w) - 10)) as i from (select {key}, regexp_extract_all(lower(coalesce({text}, '')), {WORDS}) as w from {table}))"
 
@@ -55,9 +70,9 @@ SQL = {
     "p3_report": f"""{OVERLAP}, o as (select x.src, x.id_a, x.id_b, h.id, h.split, h.source from alike x join r h on h.src = x.src and h.id in (x.id_a, x.id_b) and coalesce(h.split, '') <> 'train')
       select src, split, source, count(distinct id) as records, count(*) as pairs from o group by all""",
     "p4_found": f"{POOLS} select plan_id, category from q where available < needed",
-    "p4_report": f"{POOLS} select plan_id, category, needed, available, least(needed, available) as taken, needed - least(needed, available) as short from q",
-    "p4_sample": f"""{POOLS}, m as (select plan_id, pool, common, max(least(needed, available)) as taken from q group by 1, 2, 3)
-      select plan_id, common as category, key from (select plan_id, r.common, key, taken, row_number() over (partition by plan_id, r.pool, r.common order by md5('4:' || key), key) as nth from r join m on m.pool = r.pool and m.common = r.common) where nth <= taken""",
+    "p4_report": f"{QUOTAS} select plan_id, category, needed, available, coalesce(quota, 0)::bigint as taken, greatest(needed - available, 0) as short from q left join quotas using (plan_id, pool, common)",
+    "p4_sample": f"""{QUOTAS}
+      select plan_id, common as category, key from (select plan_id, r.common, key, quota, row_number() over (partition by plan_id, r.pool, r.common order by md5('4:' || key), key) as nth from r join quotas m on m.pool = r.pool and m.common = r.common) where nth <= quota""",
     "p6_found": f"{LEAKS} select doc_id, item_id from l",
     "p6_items": f"{LEAKS} select i.item_id, i.suite, i.split, count(l.doc_id) as documents from heldout_items i left join l using (item_id) group by 1, 2, 3",
 }

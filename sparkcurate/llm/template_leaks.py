@@ -2,10 +2,12 @@
 
 Every word of a text is canonicalised by a function of the word alone: numbers, units and names become typed
 placeholders, the other words stay.  A name is any word that is no literal word of the held-out material, where a word
-is literal if it stands there in lower case, outside identifiers and paths, in at least two items.  Windows of WINDOW
-canonical words are hash-joined between corpus and items; then the slots are compared: with equal words in all slots
-the passage itself leaked (two texts with WINDOW consecutive words in common share such a window, so none is missed),
-with other words in the slots that follow the same pattern of equal and different slots, a re-parameterised item.
+is literal if it stands there in lower case, outside identifiers and paths, in at least two items.  A template window is WINDOW
+canonical words with the pattern of which slots hold equal words.  Template windows are hash-joined between corpus and items, and the slots are
+checked: with the same words in all slots the passage itself leaked (two texts with WINDOW consecutive words in common share such a window, so none is
+missed), with other words in the slots of a window of at least LITERALS literal words, a re-parameterised item.  The join looks for template and words
+together first; windows of equal templates and other words are expanded only where a template has enough literal words to say something, so windows
+of placeholders alone meet nothing but themselves.
 
 Item windows are broadcast only if the items' texts are under BROADCAST_CHARS characters; beyond that both sides are
 joined by shuffle.  The table of literal words has a fixed number of bits.
@@ -74,32 +76,31 @@ def rolled(values: list[np.ndarray]) -> np.ndarray:
     return mixed(h)
 
 
-def windows(texts: list[str | None], literal: np.ndarray, slots: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template hash, hash of the words, text) of all windows; with slots the first hash also holds which slots are equal, and only
-    windows with at least LITERALS literal words are returned."""
+def windows(texts: list[str | None], literal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template hash, hash of the words, whether there are LITERALS literal words, text) of all windows; the template holds which slots are equal."""
     ids, words, at = canonical(texts, literal)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     m = len(ids) - WINDOW + 1
     if m <= 0:
-        return np.empty(0, U64), np.empty(0, U64), np.empty(0, np.int64)
-    keep = owner[:m] == owner[WINDOW - 1 :]
-    cut = [slice(k, m + k) for k in range(WINDOW)]
-    exact = rolled([ids[c][keep] for c in cut])
-    if not slots:
-        return rolled([words[c][keep] for c in cut]), exact, owner[:m][keep]
+        return np.empty(0, U64), np.empty(0, U64), np.empty(0, bool), np.empty(0, np.int64)
+    keep = np.flatnonzero(owner[:m] == owner[WINDOW - 1 :])
+    cut = [keep + k for k in range(WINDOW)]
     # how far back the same word last stood, as far as it is in the window
     order = np.argsort(ids, kind="stable")
     back = np.zeros(len(ids), np.int64)
     same = ids[order][1:] == ids[order][:-1]
     back[order[1:][same]] = (order[1:] - order[:-1])[same]
     slot = (words == NUMBER) | (words == NAME)
+    n_literal = np.concatenate([[0], np.cumsum(~slot)])
     values = [words[c] + np.where(slot[c] & (back[c] <= k), back[c], 0).astype(U64) * U64(8) for k, c in enumerate(cut)]
-    keep &= sum((~slot[c]).astype(np.int8) for c in cut) >= LITERALS
-    return rolled([v[keep] for v in values]), rolled([ids[c][keep] for c in cut]), owner[:m][keep]
+    return rolled(values), rolled([ids[c] for c in cut]), n_literal[keep + WINDOW] - n_literal[keep] >= LITERALS, owner[keep]
 
 
-def window_rows(df: DataFrame, literal: np.ndarray, slots: bool) -> DataFrame:
-    """(id, template, exact) of all windows of df (id, text), once per text."""
+WINDOWS = "id bigint, template bigint, words bigint, telling boolean"
+
+
+def window_rows(df: DataFrame, literal: np.ndarray) -> DataFrame:
+    """(id, template, words, telling) of all windows of df (id, text), once per text."""
     shared = df.sparkSession.sparkContext.broadcast(literal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,62 +108,77 @@ def window_rows(df: DataFrame, literal: np.ndarray, slots: bool) -> DataFrame:
             ids, texts = arrow_columns(batch, "id", "text")
             keys = np.array(ids, np.int64)
             for i, j in blocks(texts):
-                template, exact, owner = windows(texts[i:j], shared.value, slots)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i + owner]), pa.array(template.view(np.int64)), pa.array(exact.view(np.int64))], ["id", "template", "exact"])
-
-    return df.select("id", "text").filter("id is not null").mapInArrow(run, "id bigint, template bigint, exact bigint")
+                template, words, telling, owner = windows(texts[i:j], shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i + owner]), pa.array(template.view(np.int64)), pa.array(words.view(np.int64)), pa.array(telling)], ["id", "template", "words", "telling"])
 
+    return df.select("id", "text").filter("id is not null").mapInArrow(run, WINDOWS).distinct()
 
-def leaks(documents: DataFrame, items: DataFrame, reparameterised: bool = False, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
-    """(doc_id, item_id, windows): pairs with common windows and how many different ones.
 
-    Of the passage itself, or with ``reparameterised`` of windows that agree but for other words in the slots."""
+def leaks(documents: DataFrame, items: DataFrame, broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
+    """(doc_id, item_id, same, changed): pairs with common template windows, how many different ones have the same words and how many have
+    other words in the slots."""
     docs = documents.select(F.col("doc_id").alias("id"), "text")
     held = items.select(F.col("item_id").alias("id"), F.col("item_text").alias("text"))
     literal = lexicon(held)
-    of_items = window_rows(held, literal, reparameterised).distinct()
+    of_items = window_rows(held, literal)
     chars = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
     if chars <= broadcast_chars:
-        found = probed(docs, literal, of_items, reparameterised)
+        found = probed(docs, literal, of_items)
     else:
-        own = window_rows(docs, literal, reparameterised).distinct().withColumnsRenamed({"id": "doc_id", "exact": "words"})
-        same = (F.col("words") != F.col("exact")) if reparameterised else (F.col("words") == F.col("exact"))
-        found = own.join(of_items.withColumnRenamed("id", "item_id"), "template").filter(same).select("doc_id", "item_id", "template")
-    return found.groupBy("doc_id", "item_id").agg(F.count_distinct("template").alias("windows"))
+        own = window_rows(docs, literal).withColumnRenamed("id", "doc_id")
+        named = of_items.withColumnsRenamed({"id": "item_id", "words": "item_words"})
+        equal = own.join(named.withColumnRenamed("item_words", "words").drop("telling"), ["template", "words"]).select("doc_id", "item_id", "template", F.lit(True).alias("equal"))
+        other = own.filter("telling").join(named.filter("telling").drop("telling"), "template").filter("words <> item_words").select("doc_id", "item_id", "template", F.lit(False).alias("equal"))
+        found = equal.unionByName(other)
+    count = lambda test: F.count_distinct(F.when(test, F.col("template")))
+    return found.groupBy("doc_id", "item_id").agg(count(F.col("equal")).alias("same"), count(~F.col("equal")).alias("changed"))
+
+
+def spread_out(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the range, place) of all places of the ranges low to high."""
+    count = high - low
+    return np.repeat(np.arange(len(low)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
 
 
-def probed(docs: DataFrame, literal: np.ndarray, of_items: DataFrame, reparameterised: bool) -> DataFrame:
-    """(doc_id, item_id, template) through a broadcast table of the items' windows, in order of template and words."""
+def probed(docs: DataFrame, literal: np.ndarray, of_items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, template, equal) through a broadcast table of the items' windows, in order of template and words together and of
+    the templates that tell something."""
     got = of_items.toArrow()
-    item, template, exact = (got.column(k).to_numpy() for k in ("id", "template", "exact"))
-    order = np.lexsort((exact, template))
-    shared = docs.sparkSession.sparkContext.broadcast((literal, item[order], template[order], exact[order]))
+    item, template, words, telling = (got.column(k).to_numpy(zero_copy_only=False) for k in ("id", "template", "words", "telling"))
+    both = mixed(template.view(U64) * MIX1 ^ words.view(U64))
+    at, some = np.argsort(both), np.flatnonzero(telling)
+    some = some[np.argsort(template[some])]
+    shared = docs.sparkSession.sparkContext.broadcast((literal, both[at], item[at], template[some], words[some], item[some]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        literal, item, template, exact = shared.value
+        literal, both, item, template, words, of = shared.value
         for batch in batches:
             ids, texts = arrow_columns(batch, "id", "text")
             keys = np.array(ids, np.int64)
             for i, j in blocks(texts):
-                t, words, owner = windows(texts[i:j], literal, reparameterised)
-                t, words = t.view(np.int64), words.view(np.int64)
-                low = np.searchsorted(template, t)
-                hit = np.flatnonzero(template[np.minimum(low, len(template) - 1)] == t) if len(template) else np.empty(0, np.int64)
-                low, high = low[hit], np.searchsorted(template, t[hit], "right")
-                count = high - low
-                which = np.repeat(hit, count)
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-                # the slots: filled with the same words, or with others
-                ok = (exact[at] != words[which]) if reparameterised else (exact[at] == words[which])
-                if ok.any():
-                    rows = np.unique(np.stack([keys[i + owner[which[ok]]], item[at[ok]], template[at[ok]]]), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["doc_id", "item_id", "template"])
-
-    return docs.filter("id is not null").mapInArrow(run, "doc_id bigint, item_id bigint, template bigint")
+                own, own_words, own_telling, owner = windows(texts[i:j], literal)
+                key = mixed(own * MIX1 ^ own_words)
+                which, place = spread_out(np.searchsorted(both, key), np.searchsorted(both, key, "right"))
+                rows = [np.stack([keys[i + owner[which]], item[place], own[which].view(np.int64), np.ones(len(which), np.int64)])]
+                ask = np.flatnonzero(own_telling)
+                t, w = own[ask].view(np.int64), own_words[ask].view(np.int64)
+                which, place = spread_out(np.searchsorted(template, t), np.searchsorted(template, t, "right"))
+                ok = words[place] != w[which]
+                which, place = which[ok], place[ok]
+                rows.append(np.stack([keys[i + owner[ask[which]]], of[place], t[which], np.zeros(len(which), np.int64)]))
+                found = np.concatenate(rows, axis=1)
+                if found.size:
+                    found = np.unique(found, axis=1)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in found[:3]), pa.array(found[3] > 0)], ["doc_id", "item_id", "template", "equal"])
+
+    return docs.filter("id is not null").mapInArrow(run, "doc_id bigint, item_id bigint, template bigint, equal boolean")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, suite, split, documents): every item with the number of documents that hold passages of it."""
-    count = leaks(documents, items).groupBy("item_id").agg(F.count("*").alias("documents"))
+    """(item_id, suite, split, documents, reparameterised): every item with the number of documents that hold passages of it, and of those that
+    hold only passages with other words in the slots."""
+    found = leaks(documents, items)
+    count = found.groupBy("item_id").agg(F.count_if(F.col("same") > 0).alias("documents"), F.count_if(F.col("same") == 0).alias("reparameterised"))
     one = items.groupBy("item_id").agg(F.min("suite").alias("suite"), F.min("split").alias("split"))
-    return one.join(count, "item_id", "left").select("item_id", "suite", "split", F.coalesce("documents", F.lit(0)).alias("documents"))
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return one.join(count, "item_id", "left").select("item_id", "suite", "split", none("documents"), none("reparameterised"))
