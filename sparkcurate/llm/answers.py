@@ -1,8 +1,9 @@
 """Defective answers (problem 2): empty, truncated, refusal, copy of the question, foreign language.
 
 An answer is an assistant message directly after a user message.  Languages are told apart by naive Bayes over character trigrams, fitted on
-at most TRAIN_DOCUMENTS labelled documents; the answer's posterior is compared with that of all user questions of its conversation.
-Truncation is told by the end-of-text n-gram likelihood (module endings), fitted on all assistant messages, and by structures open at the end.
+at most TRAIN_DOCUMENTS labelled documents; the answer's posterior is compared with that of its own question, and where that is too short to tell, with
+that of all user questions of its conversation.  Truncation is told by the end-of-text n-gram likelihood (module endings), fitted on all
+assistant messages, and by structures open at the end.  Refusals are read by their grammar (module refusals).
 Each answer gets the first defect that applies, in the order empty, refusal, copy, language, truncated.
 
 Messages of a session are put in order within blocks of BLOCK sequence numbers, and the last message of a block is joined to the next
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from sparkcurate.functions.textfn import norm_label
 from sparkcurate.llm.bags import MIX1, U64, WORD, arrow_columns, blocks, mixed
 from sparkcurate.llm.endings import codes_of, end_model, end_scores, open_structure
+from sparkcurate.llm.refusals import is_refusal
 from sparkcurate.llm.shared import written
 
 BLOCK = 1024
@@ -101,6 +103,13 @@ def log_likelihoods(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np
     return out, n
 
 
+def likelihoods(texts: list[str], table: np.ndarray) -> np.ndarray:
+    """Log likelihoods in each language; 0 in all for texts with too few trigrams to tell."""
+    like, grams = (np.concatenate(x) for x in zip(*(log_likelihoods(texts[i:j], table) for i, j in blocks(texts, 512))))
+    like[grams < LEAST_GRAMS] = 0
+    return like
+
+
 # -- the defects that show in an answer and its question ------------------------------------------------------------------------------
 
 #: What stands for nothing.
@@ -109,53 +118,25 @@ EMPTY_FENCE = re.compile(r"```[\w+-]*\s*```")
 INVISIBLE = re.compile(r"[​-‏ -‮⁠-⁤﻿­]")
 
 
+PLACEHOLDER = re.compile(r"[\[(<{][^\[\](){}<>]{1,60}[\])>}]\Z")
+#: What a remark in brackets says when there is nothing.
+NOTHING = re.compile(r"\b(?:no|none|empty|silence|silent|blank|nothing|null|missing|deleted|removed|redacted|omitted|pending|placeholder|tbd|todo)\b")
+
+
 def is_empty(text: str | None) -> bool:
+    """Nothing but blanks, marks, empty code blocks or a stand-in, alone or as a remark in brackets."""
     if text is None:
         return True
-    t = INVISIBLE.sub("", EMPTY_FENCE.sub(" ", text)).strip()
-    if len(t) > 40:
-        return False
-    words = " ".join(WORD.findall(t.lower()))
+    t = INVISIBLE.sub("", EMPTY_FENCE.sub(" ", text)).strip().lower()
+    words = WORD.findall(t)
     if not words:
         return True
-    return words in STAND_INS and t.strip("<>[](){}*_-—.…\"'` ").lower() in {*STAND_INS, "n a"}
-
-
-#: Ways to decline, after apostrophes are made plain and in lower case.
-DECLINE = re.compile(
-    r"""\b(?:
-    (?:i\ (?:can(?:not|'t|\ not)|could\ not|won't|will\ not|shall\ not|must\ not|may\ not|am\ (?:not\ able|unable|not\ allowed|not\ permitted)\ to|do\ not\ feel\ able\ to)|i'm\ (?:not\ able|unable|not\ allowed|not\ permitted)\ to|we\ (?:can't|cannot))\ (?:really\ |simply\ |just\ )?
-        (?:help|assist|do\ (?:this|that|it)|answer|discuss|share|provide|comply|comment|work\ on|look\ into|support|offer|continue|talk|go\ into|take\ (?:this|that|part)|fulfil|complete\ (?:this|that)|respond|engage|give|tell|say|disclose|reveal)
-    |(?:must|have\ to|need\ to|will|would\ rather)\ (?:respectfully\ |politely\ )?(?:decline|refuse|pass\ on)
-    |i(?:'d|\ would)\ (?:rather|prefer)\ not
-    |i\ (?:decline|refuse)\b
-    |no\ comment\ on
-    |(?:outside|beyond|not\ within|out\ of)\ (?:of\ )?(?:my|what\ i|the)\ (?:remit|scope\ of\ what\ i|can\ (?:offer|do|help)|capabilit\w+|permissions|guidelines|am\ allowed)
-    |my\ (?:instructions|guidelines|rules|policy|policies)\ (?:forbid|prohibit|prevent|do\ not\ allow|don't\ allow)
-    |(?:goes\ )?against\ my\ (?:guidelines|instructions|rules|policy|policies)
-    |things\ i\ was\ (?:asked|told)\ to\ (?:avoid|leave)
-    |(?:asked|told)\ to\ leave\ such\ topics\ alone
-    |nothing\ i\ am\ (?:allowed|permitted)\ to\ do
-    |not\ be\ (?:right|appropriate|proper)\ for\ me\ to
-    |let\ us\ talk\ about\ something\ else|let's\ talk\ about\ something\ else
-    |i\ have\ no\ permission
-    |not\ something\ i\ (?:can|am\ able\ to|may)\ (?:help|assist|do|discuss)
-    )""",
-    re.X,
-)
-#: Sentences that may follow a refusal and give no answer.
-POLITE = re.compile(r"thank|consider|contact|owner|understand|someone else|administrator|reviewer|rephras|anything else|sorry|apolog|shall i|please (?:ask|contact|try)|guideline|permission|topics|instructions|request|unfortunately|decline|instead", re.I)
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
-
-
-def is_refusal(text: str) -> bool:
-    if len(text) > 400 or "```" in text or "<tool_call>" in text:
+    if len(words) > 6:
         return False
-    t = text.replace("’", "'").strip().lower()
-    parts = [p for p in SENTENCE.split(t) if WORD.search(p)]
-    declines = [bool(DECLINE.search(p)) for p in parts]
-    # a refusal declines near its beginning and goes on with courtesies and one other sentence at most
-    return any(declines[:2]) and sum(not d and not POLITE.search(p) for d, p in zip(declines, parts)) <= 1
+    if PLACEHOLDER.match(t):
+        return bool(NOTHING.search(t))
+    bare = t.strip("<>[](){}*_-—.…\"'` ")
+    return bare in STAND_INS or bare.replace(".", "") == "na" or (" ".join(words) in STAND_INS and bare in {*STAND_INS, "n a"})
 
 
 FRAME = {"you", "asked", "question", "your", "was", "the", "user", "asks", "so", "is"}
@@ -220,17 +201,20 @@ def kept(rows: DataFrame) -> DataFrame:
 def turns_of_rows(df: DataFrame, src: str, session: str = "session_id", seq: str = "seq", block: int = BLOCK) -> DataFrame:
     """The same of single messages in the order of seq within a session."""
     rows = df.select(F.col(session).alias("rec_id"), F.col(seq).alias("pos"), norm_label(F.col("role")).alias("role"), "content", F.floor(F.col(seq) / block).alias("block"))
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.filter("rec_id is not null and pos is not null").repartition(partitions, "rec_id", "block").groupBy("rec_id", "block", "pos").agg(F.first("role").alias("role"), F.first("content").alias("content"))
-    own = Window.partitionBy("rec_id", "block").orderBy("pos")
-    rows = rows.withColumn("before", F.lag(F.struct("role", "content")).over(own)).withColumn("nth", F.row_number().over(own))
-    heads = rows.filter("nth = 1 and block > 0").drop("before")
-    tails = df.select(F.col(session).alias("rec_id"), F.col(seq).alias("pos"), norm_label(F.col("role")).alias("role"), "content", F.floor(F.col(seq) / block).alias("block"))
-    tails = tails.join(heads.select("rec_id").distinct(), "rec_id", "left_semi").groupBy("rec_id", "block").agg(F.max_by(F.struct("role", "content"), "pos").alias("tail"))
-    tails = tails.withColumn("before", F.lag("tail").over(Window.partitionBy("rec_id").orderBy("block"))).select("rec_id", "block", "before")
-    heads = heads.join(tails, ["rec_id", "block"], "left")
-    every = rows.filter("not (nth = 1 and block > 0)").unionByName(heads.select(rows.columns))
-    return kept(every.select(F.lit(src).alias("src"), "rec_id", "pos", "role", "content", F.col("before.role").alias("role_before"), F.col("before.content").alias("asked")))
+    rows = rows.filter("rec_id is not null and pos is not null")
+    # the last message of a block is needed in the next one, too; there is one row a block here
+    last = rows.groupBy("rec_id", "block").agg(F.max("pos").alias("pos"))
+    edges = written(last.withColumn("next", F.lead("block").over(Window.partitionBy("rec_id").orderBy("block"))).filter("next is not null"), "edges")
+    if edges.isEmpty():
+        rows = rows.withColumn("at", F.col("block"))
+    else:
+        both = F.when(F.col("next").isNull(), F.array("block")).otherwise(F.array("block", "next"))
+        rows = rows.join(edges, ["rec_id", "block", "pos"], "left").withColumn("at", F.explode(both))
+    partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    rows = rows.repartition(partitions, "rec_id", "at").groupBy("rec_id", "at", "pos").agg(F.first("block").alias("block"), F.first("role").alias("role"), F.first("content").alias("content"))
+    before = F.lag(F.struct("role", "content")).over(Window.partitionBy("rec_id", "at").orderBy("pos"))
+    rows = rows.withColumn("before", before).filter("at = block")
+    return kept(rows.select(F.lit(src).alias("src"), "rec_id", "pos", "role", "content", F.col("before.role").alias("role_before"), F.col("before.content").alias("asked")))
 
 
 def defects(turns: DataFrame, answers: DataFrame, documents: DataFrame) -> DataFrame:
@@ -251,29 +235,29 @@ def defects(turns: DataFrame, answers: DataFrame, documents: DataFrame) -> DataF
             end = end_scores(contents, scores)
             first: list = [None] * len(roles)
             last: list = [None] * len(roles)
-            texts = [""] * len(roles)
+            texts, prompts = [""] * len(roles), [""] * len(roles)
             for k, role in enumerate(roles):
                 if role == "assistant":
                     first[k], last[k] = judged(asked[k], contents[k], end[k])
                     if first[k] is None:
                         texts[k] = natural(contents[k])
+                        prompts[k] = natural(asked[k]) if not TOOL_RESULT.match(asked[k] or "") else ""
                 elif not TOOL_RESULT.match(contents[k] or ""):
                     texts[k] = natural(contents[k])
-            like, grams = (np.concatenate(x) for x in zip(*(log_likelihoods(texts[i:j], table) for i, j in blocks(texts, 512))))
-            like[grams < LEAST_GRAMS] = 0
+            like, of_prompt = likelihoods(texts, table), likelihoods(prompts, table)
             given = [None if r != "assistant" else k for r, k in zip(roles, decided(like))]
-            arrays = [*batch.columns[:4], pa.array(first, pa.string()), pa.array(last, pa.string()), pa.array(given, pa.int32()), *(pa.array(like[:, k].astype(np.float32)) for k in range(len(names)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["src", "rec_id", "pos", "role", "first", "last", "given", *columns])
+            arrays = [*batch.columns[:4], pa.array(first, pa.string()), pa.array(last, pa.string()), pa.array(given, pa.int32()), pa.array(decided(of_prompt), pa.int32()), *(pa.array(like[:, k].astype(np.float32)) for k in range(len(names)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["src", "rec_id", "pos", "role", "first", "last", "given", "prompt", *columns])
 
-    schema = "src string, rec_id string, pos bigint, role string, first string, last string, given int" + "".join(f", {c} float" for c in columns)
+    schema = "src string, rec_id string, pos bigint, role string, first string, last string, given int, prompt int" + "".join(f", {c} float" for c in columns)
     rows = written(turns.select("src", "rec_id", "pos", "role", "content", "asked").mapInArrow(run, schema), "turns")
     asked = rows.filter("role = 'user'").groupBy("src", "rec_id").agg(*(F.sum(c).alias(c) for c in columns), F.count("*").alias("n"))
     second = F.element_at(F.sort_array(F.array(*columns), asc=False), 2) if len(names) > 1 else F.lit(0)
     best = F.greatest(*columns) if len(names) > 1 else F.lit(0)
     language = F.coalesce(*(F.when(F.col(c) == best, F.lit(k)) for k, c in enumerate(columns))) if len(names) > 1 else F.lit(None).cast("int")
     asked = asked.filter(best - second >= LEAST_ODDS).select("src", "rec_id", language.alias("asked_in"))
-    answer = rows.filter("role = 'assistant'").select("src", "rec_id", "pos", "first", "last", "given")
-    foreign = F.when(F.col("given") != F.col("asked_in"), F.lit("language"))
+    answer = rows.filter("role = 'assistant'").select("src", "rec_id", "pos", "first", "last", "given", "prompt")
+    foreign = F.when(F.col("given") != F.coalesce("prompt", "asked_in"), F.lit("language"))
     return answer.join(asked, ["src", "rec_id"], "left").select("src", "rec_id", "pos", F.coalesce("first", foreign, "last").alias("defect")).filter("defect is not null").distinct()
 
 
