@@ -167,8 +167,8 @@ def cut_reason(text: str | None, returns: bool = False) -> str | None:
 
 
 def prefixes(documents: DataFrame) -> DataFrame:
-    """(fp, longer, goes_on): the fingerprint of every text that is a strict prefix of another, that of the shortest such text (of equal ones the least
-    fingerprint), and whether some longer text goes on inside a word."""
+    """(fp, longer, longer_chars, goes_on): the fingerprint of every text that is a strict prefix of another, that of the shortest such text (of equal
+    ones the least fingerprint), its length, and whether some longer text goes on inside a word."""
     texts = documents.filter("text is not null and length(trim(text)) > 0").select("text", F.xxhash64("text").alias("fp"), F.length("text").alias("n"))
     top = F.floor(F.log2("n")).cast("int")
     keys = F.transform(F.sequence(F.lit(0), top), lambda k: F.struct(k.alias("k"), F.xxhash64(F.substring("text", F.lit(1), F.pow(F.lit(2), k).cast("int"))).alias("key")))
@@ -182,7 +182,8 @@ def prefixes(documents: DataFrame) -> DataFrame:
     begun = one.select(F.col("fp").alias("longer"), F.col("n").alias("longer_n"), F.explode(F.transform("lengths", begin)).alias("x")).select("longer", "longer_n", "x.*")
     whole = rows.filter("k = 0").select("fp", "n").distinct()
     on = F.col("more") & F.col("seam").rlike(r"^[\p{L}\p{N}]{2}$")
-    return begun.join(whole, ["fp", "n"]).groupBy("fp").agg(F.min(F.struct("longer_n", "longer")).getField("longer").alias("longer"), F.bool_or(on).alias("goes_on"))
+    found = begun.join(whole, ["fp", "n"]).groupBy("fp").agg(F.min(F.struct("longer_n", "longer")).alias("x"), F.bool_or(on).alias("goes_on"))
+    return found.select("fp", "x.longer", F.col("x.longer_n").cast("bigint").alias("longer_chars"), "goes_on")
 
 
 #: Where so many of the corpus' functions end with a return, one that does not has lost its end.
@@ -219,6 +220,12 @@ def cut_documents(documents: DataFrame) -> DataFrame:
     return ends(documents).join(longer, "fp", "left").select("doc_id", "source", F.coalesce("reason", "prefix").alias("reason")).filter("reason is not null").distinct()
 
 
+def prefix_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, longer_chars, goes_on) of every document whose text is a strict prefix of another."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("fp"))
+    return rows.join(prefixes(documents), "fp").select("doc_id", "longer_chars", "goes_on").distinct()
+
+
 def cut_report(documents: DataFrame) -> DataFrame:
     """(source, documents, cut, cut_share) of every source; a null source is a source."""
     every = documents.groupBy("source").agg(F.count_distinct("doc_id").alias("documents"))

@@ -1,8 +1,11 @@
 """How texts end: a model of end-of-text n-grams, and structures that are still open at the end.
 
-The shape of a place in a text is the classes of the SHAPE characters before it: letters, digits, blanks and line breaks are one
-class each, any other character is its own.  The model counts shapes at the ends of texts and at all places within texts; the score of
-an end is the logarithm of how much likelier its shape is as an end than as a place within.  Tables have 2**SHAPE_BITS counts.
+A place in a text has two n-grams: the SHAPE characters before it by class (letters, digits, blanks and line breaks are one class each, any other
+character is its own), and the LONG characters before it as they are, in lower case.  The model counts both at the ends of texts and at all places.  The
+likelihood of an end after a shape is its share of ends; that after the long n-gram is its own share of ends, smoothed by PRIOR places that
+end as often as the shape does, so that it tells where it is well attested ("thanks") and the shape where it is not.  A text that was counted is left
+out of its own counts.  The score of an end is the logarithm of the odds of an end there against those anywhere.  Tables have 2**SHAPE_BITS and
+2**LONG_BITS counts.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from pyspark.sql import functions as F
 from sparkcurate.llm.bags import MIX1, U64, blocks, mixed
 
 SHAPE, SHAPE_BITS = 3, 14
+LONG, LONG_BITS, PRIOR = 6, 20, 500
 LETTER, DIGIT, BLANK, LINE = 1, 2, 3, 4
 #: What makes a score: the counts are smoothed by this many shapes.
 SMOOTH = 0.5
@@ -54,15 +58,22 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), np.cumsum([len(t) for t in texts])
 
 
-def shape_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of the shape before the end of each character, and the index of each text's last character; texts have SHAPE characters or more."""
-    codes, ends = codes_of(texts)
+def buckets_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of the shape and of the long n-gram before the end of each character, and the index of each text's last character; line breaks stand
+    before each text."""
+    codes, ends = codes_of(["\n" * LONG + t for t in texts])
+    inside = np.ones(len(codes), bool)
+    inside[(np.concatenate([[0], ends[:-1]])[:, None] + np.arange(LONG)).ravel()] = False
     kind = class_of(codes).astype(U64)
-    h = np.zeros(len(kind), U64)
-    for k in range(SHAPE):
-        back = np.concatenate([np.zeros(k, U64), kind[: len(kind) - k]])
-        h = h * MIX1 + back + U64(k)
-    return (mixed(h) >> U64(64 - SHAPE_BITS)).astype(np.int64), ends - 1
+    lower = np.where((codes >= 65) & (codes <= 90), codes | 32, codes).astype(U64)
+
+    def hashed(x: np.ndarray, n: int, bits: int) -> np.ndarray:
+        h = np.zeros(len(x), U64)
+        for k in range(n):
+            h = h * MIX1 + np.concatenate([np.zeros(min(k, len(x)), U64), x[: max(0, len(x) - k)]]) + U64(k)
+        return (mixed(h[inside]) >> U64(64 - bits)).astype(np.int64)
+
+    return hashed(kind, SHAPE, SHAPE_BITS), hashed(lower, LONG, LONG_BITS), np.cumsum([len(t) for t in texts]) - 1
 
 
 def bare_end(text: str | None) -> str:
@@ -71,37 +82,60 @@ def bare_end(text: str | None) -> str:
     return t if len(t) >= SHAPE else ""
 
 
-def end_model(df: DataFrame) -> np.ndarray:
-    """Scores of all buckets from all texts of df (a column text)."""
-    size = 1 << SHAPE_BITS
+class EndModel:
+    """Counts (ends, places) of shapes and of long n-grams."""
+
+    def __init__(self, shape: np.ndarray, long: np.ndarray) -> None:
+        self.shape, self.long = shape.astype(np.float32), long.astype(np.float32)
+        # one end and place more, as often as anywhere, for corpora without any
+        self.share = (float(shape[0].sum()) + SMOOTH) / (float(shape[1].sum()) + SMOOTH / LEAST_SHARE)
+
+    def scores(self, shape: np.ndarray, long: np.ndarray) -> np.ndarray:
+        ends, places = np.maximum(self.shape[:, shape] - 1, 0)
+        p = (ends + SMOOTH * self.share) / (places + SMOOTH)
+        ends, places = np.maximum(self.long[:, long] - 1, 0)
+        p = (ends + PRIOR * p) / (places + PRIOR)
+        odds = lambda x: np.log(np.clip(x, 1e-12, 1 - 1e-6) / (1 - np.clip(x, 1e-12, 1 - 1e-6)))
+        return (odds(p) - odds(self.share)).astype(np.float32)
+
+
+#: The share of ends among the places of a corpus without texts.
+LEAST_SHARE = 1e-3
+
+
+def end_model(df: DataFrame) -> EndModel:
+    """The model of all texts of df (a column text); at most 2**SHAPE_BITS + 2**LONG_BITS rows are collected."""
+    sizes = (1 << SHAPE_BITS, 1 << LONG_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at_end, within = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        total = [np.zeros((2, n), np.int64) for n in sizes]
         for batch in batches:
             texts = [e for t in batch.column(0).to_pylist() if (e := bare_end(t))]
-            for i, j in blocks(texts):
-                bucket, last = shape_buckets(texts[i:j])
-                within += np.bincount(bucket, minlength=size)
-                at_end += np.bincount(bucket[last], minlength=size)
-        any_ = np.flatnonzero(within)
-        yield pa.RecordBatch.from_arrays([pa.array(any_), pa.array(at_end[any_]), pa.array(within[any_])], ["bucket", "at_end", "within"])
-
-    rows = df.select("text").mapInArrow(count, "bucket bigint, at_end bigint, within bigint").groupBy("bucket").agg(F.sum("at_end").alias("e"), F.sum("within").alias("w")).toArrow()
-    ends, within = np.zeros(size), np.zeros(size)
-    at = rows.column("bucket").to_numpy()
-    ends[at], within[at] = rows.column("e").to_numpy(), rows.column("w").to_numpy()
-    within -= ends
-    return (np.log((ends + SMOOTH) / (ends.sum() + SMOOTH * size)) - np.log((within + SMOOTH) / (within.sum() + SMOOTH * size))).astype(np.float32)
-
-
-def end_scores(texts: list[str | None], scores: np.ndarray) -> np.ndarray:
+            for i, j in blocks(texts, 1024, 1 << 19):
+                *grams, last = buckets_of(texts[i:j])
+                for table, bucket in zip(total, grams):
+                    table[0] += np.bincount(bucket[last], minlength=table.shape[1])
+                    np.add.at(table[1], bucket, 1)
+        for kind, table in enumerate(total):
+            at = np.flatnonzero(table[1])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(table[0][at]), pa.array(table[1][at])], ["kind", "bucket", "ends", "places"])
+
+    rows = df.select("text").mapInArrow(count, "kind int, bucket bigint, ends bigint, places bigint").groupBy("kind", "bucket").agg(F.sum("ends").alias("ends"), F.sum("places").alias("places")).toArrow()
+    kind, at, ends, places = (rows.column(c).to_numpy() for c in ("kind", "bucket", "ends", "places"))
+    out = [np.zeros((2, n)) for n in sizes]
+    for k, table in enumerate(out):
+        table[0][at[kind == k]], table[1][at[kind == k]] = ends[kind == k], places[kind == k]
+    return EndModel(*out)
+
+
+def end_scores(texts: list[str | None], model: EndModel) -> np.ndarray:
     """The score of each text's end; 0 for texts without one."""
     out = np.zeros(len(texts), np.float32)
     bare = [bare_end(t)[-64:] for t in texts]
     own = [k for k, t in enumerate(bare) if t]
     if own:
-        bucket, last = shape_buckets([bare[k] for k in own])
-        out[own] = scores[bucket[last]]
+        shape, long, last = buckets_of([bare[k] for k in own])
+        out[own] = model.scores(shape[last], long[last])
     return out
 
 

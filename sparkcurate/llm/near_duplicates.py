@@ -280,10 +280,12 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicate_classes(texts: DataFrame) -> DataFrame:
-    """(src, id, class_id, n_links): one row per record with enough words; the class is the least fingerprint among the bags that chains
-    of links lead to, n_links the number of different bags linked directly.  Records in no pair are a class of their own."""
+    """(src, id, class_id, n_links): one row per record with enough words; a class is all records that chains of links lead to, and its name their
+    least id; n_links is the number of different bags linked directly.  Copies are of one class; a record in no pair is one of its own."""
     feats = written(features(texts), "features")
     found = written(similar_bags(feats).select("a", "b"), "found")
     links = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.count("*").alias("links"))
     of = feats.select("src", "id", "fp").distinct().join(links.withColumnRenamed("a", "fp"), "fp", "left").join(components(found), "fp", "left")
-    return of.select("src", "id", F.coalesce("least", "fp").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    of = of.select("src", "id", F.coalesce("least", "fp").alias("root"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    named = of.groupBy("root").agg(F.min("id").alias("class_id"))
+    return of.join(named, "root").select("src", "id", "class_id", "n_links")

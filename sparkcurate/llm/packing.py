@@ -5,7 +5,8 @@ containers and a rest; no other text is split.  (2) The histogram of piece lengt
 data's size) goes to the driver: patterns of lengths that fill a container are enumerated, their repeat counts are fitted to
 the histogram by non-negative least squares and rounded down, and what is left over is placed best-fit, longest first, again on
 counts.  Patterns of two or three documents, as in the usual form of the method, would leave much space where texts are
-short, so patterns go up to PATTERN_ITEMS documents.  (3) The plan says which ranks of a length go to which containers; pieces get
+short, so patterns go up to PATTERN_ITEMS documents.  Enumerated are, for every length, the two that fill best with it, and for
+STEPS lengths spread evenly over the documents, all combinations of two of them, each up to so many times as fit, with the best third length.  (3) The plan says which ranks of a length go to which containers; pieces get
 their rank within their length from counts of (length, salt) cells, so a very common length is ranked by many tasks.
 
 Null and empty texts have no tokens and get no container.  A doc_id that occurs several times is several documents; extra columns
@@ -29,7 +30,7 @@ from sparkcurate.llm.shared import written
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN_ITEMS, PATTERNS, SWEEPS = 24, 3000, 40
+PATTERN_ITEMS, STEPS, SWEEPS = 24, 48, 40
 #: Pieces of one length are ranked in so many cells at least, and in more where a cell would hold over CELL_ROWS on average.
 SALTS, CELL_ROWS = 64, 1_000_000
 
@@ -84,26 +85,34 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
     return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, tokens bigint")
 
 
-def patterns(histogram: np.ndarray, capacity: int, many: int = PATTERNS, items: int = PATTERN_ITEMS) -> list[dict[int, int]]:
-    """Different patterns length -> times that fill a container: drawn by the histogram, the last place filled as well as can be."""
+def patterns(histogram: np.ndarray, capacity: int, steps: int = STEPS, items: int = PATTERN_ITEMS) -> list[dict[int, int]]:
+    """Different patterns length -> times that fill a container, of at most ``items`` documents, the last places filled as well as can be."""
     lengths = np.flatnonzero(histogram)
     if not len(lengths):
         return []
-    share = np.cumsum(histogram[lengths] / histogram[lengths].sum())
-    rng = np.random.default_rng(5)
+    share = np.cumsum(histogram[lengths]) / histogram[lengths].sum()
+    spread = [int(x) for x in np.unique(lengths[np.searchsorted(share, (np.arange(steps) + 0.5) / steps)])]
     found: dict[tuple, None] = {}
-    for k in range(many):
-        first = int(lengths[-1 - k % len(lengths)])  # every length begins some pattern
-        own, left = [first], capacity - first
-        for x in lengths[np.minimum(np.searchsorted(share, rng.random(items - 2)), len(lengths) - 1)]:
-            if left <= 0 or x > left:
-                break
-            own.append(int(x))
-            left -= int(x)
+
+    def filled(own: list[int]) -> None:
+        left = capacity - sum(own)
         while left > 0 and len(own) < items and (at := int(np.searchsorted(lengths, left, "right")) - 1) >= 0:
             own.append(int(lengths[at]))
             left -= int(lengths[at])
         found[tuple(sorted(own))] = None
+
+    for x in lengths[::-1].tolist():
+        filled([x])
+        # what fits beside two of them, and beside one and half of the rest
+        half = int(np.searchsorted(lengths, max(0, capacity - x) // 2, "right")) - 1
+        if half >= 0:
+            filled([x, int(lengths[half])])
+    for x in spread:
+        for y in spread:
+            most = min((capacity - x) // y, items - 2)
+            for k in {1, 2, 3, most // 2, most} if most > 0 else ():
+                if 0 < k <= most:
+                    filled([x] + [y] * k)
     return [{x: p.count(x) for x in set(p)} for p in found]
 
 

@@ -104,7 +104,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    return cut_texts.prefixes(documents(spark, d))
+    return cut_texts.prefix_documents(documents(spark, d))
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:

@@ -66,6 +66,14 @@ LEAKS = f"with d as ({windows('documents', 'doc_id', 'text')}), h as ({windows('
 
 SQL = {
     "p1_found": f"{similar([of_messages('tool_calling', 'example_id'), of_chat()])} select * from alike",
+    "p1_classes": f"""with recursive alike_all as ({similar([of_messages('tool_calling', 'example_id'), of_chat()])} select src, id_a, id_b from alike),
+      words as (select src, id, unnest(regexp_extract_all(lower(text), {WORDS})) as w from ({' union all '.join(f'({x})' for x in [of_messages('tool_calling', 'example_id'), of_chat()])})),
+      bags as (select src, id, string_agg(w, ' ' order by w) as bag from words group by all having count(*) >= 20),
+      links as (select src, id_a as a, id_b as b from alike_all union all select src, id_b, id_a from alike_all),
+      reach as (select src, id, id as other from bags union select reach.src, reach.id, links.b from reach join links on links.src = reach.src and links.a = reach.other),
+      classes as (select src, id, min(other) as class_id from reach group by all),
+      linked as (select links.src, links.a as id, count(distinct y.bag) as n_links from links join bags x on x.src = links.src and x.id = links.a join bags y on y.src = links.src and y.id = links.b where x.bag <> y.bag group by all)
+      select src, id, class_id, coalesce(n_links, 0) as n_links from classes left join linked using (src, id)""",
     "p3_found": f"{OVERLAP} select * from alike",
     "p3_report": f"""{OVERLAP}, o as (select x.src, x.id_a, x.id_b, h.id, h.split, h.source from alike x join r h on h.src = x.src and h.id in (x.id_a, x.id_b) and coalesce(h.split, '') <> 'train')
       select src, split, source, count(distinct id) as records, count(*) as pairs from o group by all""",
@@ -73,6 +81,8 @@ SQL = {
     "p4_report": f"{QUOTAS} select plan_id, category, needed, available, coalesce(quota, 0)::bigint as taken, greatest(needed - available, 0) as short from q left join quotas using (plan_id, pool, common)",
     "p4_sample": f"""{QUOTAS}
       select plan_id, common as category, key from (select plan_id, r.common, key, quota, row_number() over (partition by plan_id, r.pool, r.common order by md5('4:' || key), key) as nth from r join quotas m on m.pool = r.pool and m.common = r.common) where nth <= quota""",
+    "p7_prefixes": """select a.doc_id, min(length(b.text)) as longer_chars, bool_or(regexp_matches(substr(b.text, length(a.text), 2), '^[\\p{L}\\p{N}]{2}$') and length(trim(substr(b.text, length(a.text) + 1), ' ')) > 0) as goes_on
+      from (select distinct doc_id, text from documents) a join (select distinct text from documents) b on length(b.text) > length(a.text) and starts_with(b.text, a.text) where length(trim(a.text, ' ')) > 0 group by 1""",
     "p6_found": f"{LEAKS} select doc_id, item_id from l",
     "p6_items": f"{LEAKS} select i.item_id, i.suite, i.split, count(l.doc_id) as documents from heldout_items i left join l using (item_id) group by 1, 2, 3",
 }
