@@ -1,11 +1,11 @@
 """How texts end: a model of end-of-text n-grams, and structures that are still open at the end.
 
 A place in a text has two n-grams: the SHAPE characters before it by class (letters, digits, blanks and line breaks are one class each, any other
-character is its own), and the LONG characters before it as they are, in lower case.  The model counts both at the ends of texts and at all places.  The
-likelihood of an end after a shape is its share of ends; that after the long n-gram is its own share of ends, smoothed by PRIOR places that
-end as often as the shape does, so that it tells where it is well attested ("thanks") and the shape where it is not.  A text that was counted is left
-out of its own counts.  The score of an end is the logarithm of the odds of an end there against those anywhere.  Tables have 2**SHAPE_BITS and
-2**LONG_BITS counts.
+character is its own), and the LONG characters before it as they are, in lower case.  The model counts shapes at the ends of texts and at all places,
+and likewise the long n-grams that at least one of MOST ends has, which are MOST at most.  The likelihood of an end after a shape is its share of ends;
+that after such a long n-gram is its own share of ends, smoothed by PRIOR places that end as often as the shape does, so that it tells where it is
+well attested ("thanks").  A text that was counted is left out of its own counts.  The score of an end is the logarithm of the odds of an end there
+against those anywhere.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sparkcurate.llm.bags import MIX1, U64, blocks, mixed
 
 SHAPE, SHAPE_BITS = 3, 14
-LONG, LONG_BITS, PRIOR = 6, 20, 500
+LONG, MOST, PRIOR = 6, 10_000, 500
 LETTER, DIGIT, BLANK, LINE = 1, 2, 3, 4
 #: What makes a score: the counts are smoothed by this many shapes.
 SMOOTH = 0.5
@@ -59,21 +59,21 @@ def codes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def buckets_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The buckets of the shape and of the long n-gram before the end of each character, and the index of each text's last character; line breaks stand
-    before each text."""
+    """The bucket of the shape and the hash of the long n-gram before the end of each character, and the index of each text's last character; line breaks
+    stand before each text."""
     codes, ends = codes_of(["\n" * LONG + t for t in texts])
     inside = np.ones(len(codes), bool)
     inside[(np.concatenate([[0], ends[:-1]])[:, None] + np.arange(LONG)).ravel()] = False
     kind = class_of(codes).astype(U64)
     lower = np.where((codes >= 65) & (codes <= 90), codes | 32, codes).astype(U64)
 
-    def hashed(x: np.ndarray, n: int, bits: int) -> np.ndarray:
+    def hashed(x: np.ndarray, n: int) -> np.ndarray:
         h = np.zeros(len(x), U64)
         for k in range(n):
             h = h * MIX1 + np.concatenate([np.zeros(min(k, len(x)), U64), x[: max(0, len(x) - k)]]) + U64(k)
-        return (mixed(h[inside]) >> U64(64 - bits)).astype(np.int64)
+        return mixed(h[inside])
 
-    return hashed(kind, SHAPE, SHAPE_BITS), hashed(lower, LONG, LONG_BITS), np.cumsum([len(t) for t in texts]) - 1
+    return (hashed(kind, SHAPE) >> U64(64 - SHAPE_BITS)).astype(np.int64), hashed(lower, LONG), np.cumsum([len(t) for t in texts]) - 1
 
 
 def bare_end(text: str | None) -> str:
@@ -82,41 +82,78 @@ def bare_end(text: str | None) -> str:
     return t if len(t) >= SHAPE else ""
 
 
+class Grams:
+    """The places of known hashes in their order; most others are ruled out by a bit table first."""
+
+    BITS = 20
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.unique(hashes)
+        self.known = np.zeros(1 << self.BITS, bool)
+        self.known[(self.hashes >> U64(64 - self.BITS)).astype(np.int64)] = True
+
+    def find(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index in x, place) of the known ones."""
+        maybe = np.flatnonzero(self.known[(x >> U64(64 - self.BITS)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.hashes, x[maybe]), len(self.hashes) - 1)
+        hit = self.hashes[at] == x[maybe] if len(maybe) else np.zeros(0, bool)
+        return maybe[hit], at[hit]
+
+
 class EndModel:
-    """Counts (ends, places) of shapes and of long n-grams."""
+    """Counts (ends, places) of shapes and of the known long n-grams."""
 
-    def __init__(self, shape: np.ndarray, long: np.ndarray) -> None:
-        self.shape, self.long = shape.astype(np.float32), long.astype(np.float32)
-        # one end and place more, as often as anywhere, for corpora without any
+    def __init__(self, grams: Grams, shape: np.ndarray, long: np.ndarray) -> None:
+        self.grams, self.shape, self.long = grams, shape, long
+        # one end and place more, for corpora without any
         self.share = (float(shape[0].sum()) + SMOOTH) / (float(shape[1].sum()) + SMOOTH / LEAST_SHARE)
 
     def scores(self, shape: np.ndarray, long: np.ndarray) -> np.ndarray:
         ends, places = np.maximum(self.shape[:, shape] - 1, 0)
         p = (ends + SMOOTH * self.share) / (places + SMOOTH)
-        ends, places = np.maximum(self.long[:, long] - 1, 0)
-        p = (ends + PRIOR * p) / (places + PRIOR)
-        odds = lambda x: np.log(np.clip(x, 1e-12, 1 - 1e-6) / (1 - np.clip(x, 1e-12, 1 - 1e-6)))
-        return (odds(p) - odds(self.share)).astype(np.float32)
+        at, gram = self.grams.find(long)
+        ends, places = np.maximum(self.long[:, gram] - 1, 0)
+        p[at] = (ends + PRIOR * p[at]) / (places + PRIOR)
+        p = np.clip(p, 1e-12, 1 - 1e-6)
+        return (np.log(p / (1 - p)) - np.log(self.share / (1 - self.share))).astype(np.float32)
 
 
 #: The share of ends among the places of a corpus without texts.
 LEAST_SHARE = 1e-3
 
 
+def frequent_ends(df: DataFrame) -> Grams:
+    """The long n-grams that end at least one in MOST texts."""
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [e[-LONG:] for t in batch.column(0).to_pylist() if (e := bare_end(t))]
+            if texts:
+                _, long, end = buckets_of(texts)
+                yield pa.RecordBatch.from_arrays([pa.array(long[end].view(np.int64))], ["gram"])
+
+    counts = df.select("text").mapInArrow(last, "gram bigint").groupBy("gram").agg(F.count("*").alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row
+    often = counts.crossJoin(F.broadcast(total)).filter(F.col("n") * MOST >= F.col("total")).select("gram")
+    return Grams(often.toArrow().column("gram").to_numpy().view(U64))
+
+
 def end_model(df: DataFrame) -> EndModel:
-    """The model of all texts of df (a column text); at most 2**SHAPE_BITS + 2**LONG_BITS rows are collected."""
-    sizes = (1 << SHAPE_BITS, 1 << LONG_BITS)
+    """The model of all texts of df (a column text); at most 2**SHAPE_BITS + MOST rows are collected."""
+    grams = frequent_ends(df)
+    sizes = (1 << SHAPE_BITS, len(grams.hashes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((2, n), np.int64) for n in sizes]
+        shapes, longs = (np.zeros((2, n), np.int64) for n in sizes)
         for batch in batches:
             texts = [e for t in batch.column(0).to_pylist() if (e := bare_end(t))]
             for i, j in blocks(texts, 1024, 1 << 19):
-                *grams, last = buckets_of(texts[i:j])
-                for table, bucket in zip(total, grams):
-                    table[0] += np.bincount(bucket[last], minlength=table.shape[1])
-                    np.add.at(table[1], bucket, 1)
-        for kind, table in enumerate(total):
+                shape, long, end = buckets_of(texts[i:j])
+                shapes[0] += np.bincount(shape[end], minlength=sizes[0])
+                shapes[1] += np.bincount(shape, minlength=sizes[0])
+                longs[0] += np.bincount(grams.find(long[end])[1], minlength=sizes[1])
+                longs[1] += np.bincount(grams.find(long)[1], minlength=sizes[1])
+        for kind, table in enumerate((shapes, longs)):
             at = np.flatnonzero(table[1])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(table[0][at]), pa.array(table[1][at])], ["kind", "bucket", "ends", "places"])
 
@@ -125,7 +162,7 @@ def end_model(df: DataFrame) -> EndModel:
     out = [np.zeros((2, n)) for n in sizes]
     for k, table in enumerate(out):
         table[0][at[kind == k]], table[1][at[kind == k]] = ends[kind == k], places[kind == k]
-    return EndModel(*out)
+    return EndModel(grams, *out)
 
 
 def end_scores(texts: list[str | None], model: EndModel) -> np.ndarray:

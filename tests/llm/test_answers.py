@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkcurate.llm import answers as A
+from sparkcurate.llm import endings
 
 Q = "Which files of the project read the settings before the cache is warm, and why?"
 
@@ -97,6 +98,17 @@ def test_a_conversation_that_changes_its_language(spark):
     assert [(r.pos, r.defect) for r in got.filter("rec_id = 'x'").collect()] == [(5, "language")]
 
 
+def test_ends_are_learned(spark):
+    """A closing word that many texts end with is an end, the same kind of characters elsewhere is none; whatever stands beside it in a batch."""
+    said = [f"The loader number {k} reads the file. It stops after {k} rows. {'Many thanks' if k % 4 == 0 else 'Good.'}" for k in range(400)]
+    model = endings.end_model(spark.createDataFrame([(t,) for t in said + [None, "", "x"]], "text string"))
+    sound, cut, again = endings.end_scores(["It works. Many thanks", "It works. Many loader", "It works. Many thanks"], model)
+    assert sound > 0 > cut and sound == again
+    assert endings.end_scores(["ok."], model)[0] == endings.end_scores(["a" * 90, "ok."], model)[1]
+    empty = endings.end_model(spark.createDataFrame([], "text string"))
+    assert endings.end_scores([None, "abc."], empty).shape == (2,)
+
+
 def test_arrays(spark):
     rows = [(1, [("user", Q), ("Assistant ", ""), ("assistant", "")]), (2, None), (3, []), (4, [("system", "s"), ("assistant", "")]), (1, [("user", Q), ("Assistant ", ""), ("assistant", "")])]
     df = spark.createDataFrame(rows, "id bigint, messages array<struct<role:string,content:string>>")
