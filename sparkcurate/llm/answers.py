@@ -1,7 +1,7 @@
 """Defective answers (problem 2): empty, truncated, refusal, copy of the question, foreign language.
 
 An answer is an assistant message directly after a user message.  Languages are told apart by naive Bayes over character trigrams, fitted on
-at most TRAIN_DOCUMENTS labelled documents; the answer's posterior is compared with that of its own question, and where that is too short to tell, with
+about TRAIN_DOCUMENTS labelled documents at most; the answer's posterior is compared with that of its own question, and where that is too short to tell, with
 that of all user questions of its conversation.  Truncation is told by the end-of-text n-gram likelihood (module endings), fitted on all
 assistant messages, and by structures open at the end.  Refusals are read by their grammar (module refusals).
 Each answer gets the first defect that applies, in the order empty, refusal, copy, language, truncated.
@@ -60,12 +60,14 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def language_model(documents: DataFrame, most: int = TRAIN_DOCUMENTS) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities [buckets, languages]) from at most ``most`` documents with a language label, chosen by the hash of
-    their id.  Labels are compared by their first two letters; rare and unknown ones are left out."""
+    """(languages, log probabilities [buckets, languages]) from about ``most`` documents with a language label, those with the least hashes of
+    their ids; all if there are no more.  Labels are compared by their first two letters; rare and unknown ones are left out."""
     label = F.substring(F.lower(F.btrim(F.col("lang"))), 1, 2)
     rows = documents.select("doc_id", "text", label.alias("label")).filter("label is not null and text is not null and lower(trim(lang)) rlike '^[a-z]{2}([-_].*)?$'")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("label", "text")
-    rows = rows.repartition(documents.sparkSession.sparkContext.defaultParallelism)  # a limit ends in one task
+    n = rows.count()
+    if n > most:
+        rows = rows.filter(F.xxhash64("doc_id") < F.lit(int(-(1 << 63) + (1 << 64) * most / n)))
+    rows = rows.select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
