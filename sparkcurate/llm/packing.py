@@ -30,7 +30,7 @@ from sparkcurate.llm.shared import written
 
 CAPACITY = 2048
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-PATTERN_ITEMS, STEPS, SWEEPS = 24, 48, 40
+PATTERN_ITEMS, STEPS, SWEEPS = 24, 24, 40
 #: Pieces of one length are ranked in so many cells at least, and in more where a cell would hold over CELL_ROWS on average.
 SALTS, CELL_ROWS = 64, 1_000_000
 
